@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, tokenstore
+from . import decontaminate, minhash, tokenstore
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op1_token_store(spark, sf_dir):
     return tokenstore.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
