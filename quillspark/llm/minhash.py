@@ -9,11 +9,11 @@ band are candidates; a link stands only if the full shingle sets confirm it:
 160 coordinates in 32 bands of 5 miss a pair at exactly 0.75 once in 6,000 and lose none above 0.85 in practice.
 
 How groups stay linear. Documents with the same word sequence form a class and only the class's smallest id goes on. In a
-bucket every document is compared with the bucket's smallest id, not with all others. Components of the confirmed links then
-show which buckets are settled: all their documents are in one component. In the rest, only pairs across components are
-looked at, first by length and by a sketch of the signature inside the join, then in full. So no bucket has a cap, no
-candidate is dropped, and a large group of copies costs as many pairs as it has members. The sketch keeps a pair of similarity
-0.75 but for five standard deviations.
+bucket every document is tied to the bucket's smallest id, not to all others; the components of these ties are clusters, and
+any two documents that share a bucket share a cluster. Each text then goes to its cluster once. There an index of shingles
+finds all links from one central document, then from each document that has not joined the central one's group by its turn, so
+every pair across groups is looked at. No bucket and no cluster has a cap and no candidate is dropped; a cluster too large for a
+task is cut in blocks, each pair of which is a task.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five words has its whole
 sequence as one shingle; rows with a null doc_id link with nothing and count as kept; rows that share a doc_id are one
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import bound_batches, components, cut, discard
+from .common import bound_batches, components, cut
 
 WORDS = 5
 BANDS, ROWS = 32, 5
-#: Ones in the xor of two sketches of 160 bits that a pair of similarity 0.75 exceeds once in 10**7: 20 + 5.2 deviations of 4.2.
-FAR_BITS = 42
+#: What one block of a cluster may hold, about.
+BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 _BLOCK = 1 << 15
 
 
@@ -82,13 +82,6 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """The lowest bit of each coordinate, packed in three 64-bit integers."""
-    bits = np.zeros((len(signature), 192), np.uint8)
-    bits[:, : min(192, signature.shape[1])] = signature[:, :192] & 1
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
-
-
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets, shingle hashes, first shingle of each row) of whole texts."""
     for row, _, data, at in bt.chunks(texts):
@@ -98,7 +91,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def profiles(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the word sequence; null without words), bands, sketch."""
+    """doc_id, n_shingles, fp (digest of the word sequence; null without words), bands, n_bytes."""
     bound_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,40 +106,72 @@ def profiles(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                         sizes[i] = len(np.unique(hashes[where[i] : where[i + 1]]))
                         prints[i] = hashlib.blake2b(b" ".join(raw[at[i] : at[i + 1]].split()), digest_size=16).digest()
                 signature = signatures(hashes, where)
-                keys, sketch = band_keys(signature).view(np.int64), sketches(signature)
-                flat = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sizes), pa.array(prints, pa.binary()), flat(keys), flat(sketch)], names=["doc_id", "n_shingles", "fp", "bands", "sketch"])
-
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(each, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>")
-
+                keys = band_keys(signature).view(np.int64)
+                bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), np.ascontiguousarray(keys).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sizes), pa.array(prints, pa.binary()), bands, pa.array(np.diff(at))], names=["doc_id", "n_shingles", "fp", "bands", "n_bytes"])
 
-def _set_of(text: str) -> np.ndarray:
-    sets = [hashes for _, _, _, hashes, _ in shingle_sets(pa.array([text], pa.string()))]
-    return np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(each, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, n_bytes bigint")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= 75 * union. A pair carries both texts to one task."""
-    bound_batches(pairs.sparkSession)
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def links_among(ids: np.ndarray, texts: pa.Array, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Confirmed links that join all documents joined by any confirmed link between them.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, None
-        for batch in batches:
-            a, b, x, y = batch.columns
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                if held is None or name != y[i]:
-                    name, held = y[i], _set_of(y[i].as_py())
-                other = _set_of(x[i].as_py())
-                if len(other) and len(held) and 100 * min(len(other), len(held)) >= 75 * max(len(other), len(held)):
-                    common = len(np.intersect1d(other, held, assume_unique=True))
-                    keep[i] = 100 * common >= 75 * (len(other) + len(held) - common)
-            chosen = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(chosen), b.filter(chosen)], names=["a", "b"])
-
-    return both.mapInArrow(each, "a bigint, b bigint")
+    block: 0 or 1 for each document; if both occur, only pairs across them count (the others are looked at elsewhere).
+    """
+    n = len(ids)
+    sets: list[np.ndarray] = []
+    for _, _, at, hashes, where in shingle_sets(texts):
+        sets += [np.unique(hashes[where[i] : where[i + 1]]) for i in range(len(at) - 1)]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, term = np.unique(flat, return_inverse=True)
+    counts = np.bincount(term) if len(term) else np.zeros(0, np.int64)
+    begin = np.concatenate(([0], np.cumsum(counts)))
+    holders = owner[np.argsort(term, kind="stable")]
+    reach = np.concatenate(([0], np.cumsum(sizes)))
+    group = np.arange(n)
+    found: list[tuple[int, int]] = []
+    across = block is not None and len(np.unique(block)) > 1
+
+    def look(i: int) -> None:
+        mine = term[reach[i] : reach[i + 1]]
+        spans = counts[mine]
+        place = np.repeat(begin[mine] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+        common = np.bincount(holders[place], minlength=n)
+        near = (100 * common >= 75 * (sizes[i] + sizes - common)) & (common > 0) & (group != group[i])
+        if across:
+            near &= block != block[i]
+        for j in np.flatnonzero(near).tolist():
+            if group[j] != group[i]:
+                found.append((int(ids[i]), int(ids[j])))
+                group[group == group[j]] = group[i]
+
+    if n < 2:
+        return found
+    central = np.bincount(owner, weights=counts[term], minlength=n) / np.maximum(sizes, 1)
+    order = np.argsort(-central, kind="stable").tolist()
+    for i in order:  # what has joined the first document's group is never left behind: the other end of its pairs is looked at
+        if i == order[0] or group[i] != group[order[0]]:
+            look(i)
+    return found
+
+
+def confirmed(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) with 100 * intersection >= 75 * union within clusters (doc_id, cluster, n_bytes) that keep their components."""
+    bound_batches(clusters.sparkSession)
+    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    spread = clusters.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = spread.select("doc_id", "cluster", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
+    rows = tiles.join(texts, "doc_id")
+
+    def each(rows: pa.Table) -> pa.Table:
+        blocks = rows.column("own").to_numpy()
+        pairs = links_among(rows.column("doc_id").to_numpy(), rows.column("text"), (blocks != blocks.min()).astype(np.int8))
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return rows.groupBy("cluster", "row", "col").applyInArrow(each, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -155,30 +180,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = base.where("doc_id is not null and fp is not null")
     classes = named.groupBy("fp").agg(F.min("doc_id").alias("least"))
     copies = named.select("doc_id", "fp").join(classes, "fp").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    chosen = base.join(classes.select(F.col("fp").alias("__fp"), F.col("least").alias("doc_id")), "doc_id").where("fp = __fp").select("doc_id", "n_shingles", "bands", "sketch")
-    nodes = cut(chosen, "minhash-nodes")
+    nodes = named.join(classes.select(F.col("fp").alias("__fp"), F.col("least").alias("doc_id")), "doc_id").where("fp = __fp")
 
     rows = nodes.select("doc_id", F.explode("bands").alias("key"))
     heads = rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("top")).where("head < top").select("key", "head")
-    buckets = cut(rows.join(heads, "key"), "minhash-buckets")
+    ties = rows.join(heads, "key").where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    clusters = components(ties, "minhash-clusters").withColumnRenamed("root", "cluster")
+    members = clusters.join(base.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_bytes").alias("n_bytes")), "node").withColumnRenamed("node", "doc_id")
     source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    tried = cut(buckets.where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "minhash-stars")
-    links = cut(confirm(tried, source).union(copies).distinct(), "minhash-links")
-    known = cut(components(links, "minhash-components"), "minhash-roots")
-
-    placed = buckets.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    loose = placed.join(open_keys, "key").join(nodes.select("doc_id", F.col("n_shingles").alias("size"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(3))), "doc_id")
-    one, two = loose.alias("x"), loose.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, 3)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    near = (F.col("x.root") != F.col("y.root")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (100 * F.least("x.size", "y.size") >= 75 * F.greatest("x.size", "y.size")) & (apart <= FAR_BITS)
-    across = one.join(two, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    rest = cut(across.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
-    if not rest.isEmpty():
-        more = cut(confirm(rest, source).union(known.select(F.col("node").alias("a"), F.col("root").alias("b"))), "minhash-more")
-        known = cut(components(more, "minhash-components"), "minhash-roots")
-        discard(more)
-    for done in (rest, links, tried, buckets, nodes):
-        discard(done)
+    known = components(confirmed(members, source).union(copies), "minhash-links")
     out = base.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))
