@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, minhash, tokenstore
+from . import decontaminate, minhash, tokenstore, toxicity
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op7_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
