@@ -1,15 +1,16 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
-The kernel compares two words by the ordered triples of characters they share, gaps allowed: a triple that lies within five
-places counts `DECAY` for each place skipped, so "idxiot", "i-d-i-o-t" and "i d i o t" stay near "idiot" (runs of single
+The kernel compares two words, with a mark before and after each, by the ordered triples and quadruples of characters they
+share, gaps allowed: each counts `DECAY` for each place skipped, up to two, so "idxiot", "i-d-i-o-t" and "i d i o t" stay near "idiot" (runs of single
 letters and parts with one mark between are also read as one word). Words are divided by a function of their length, which
 keeps the kernel positive definite. A sentence is as toxic as its worst word, a document as its worst sentence.
 
 Training is on sentences: each labelled document is a bag of them; in a toxic one the worst sentence stands for the bag and
 is chosen anew in each round, in a clean one every sentence is clean and the worst come back as hard examples. Landmarks are
-words, toxic-looking and clean ones, far apart in the kernel. A linear machine with hinge loss on the Nystroem features is
-fitted by stochastic gradient steps. As both the features and the kernel are linear in the triples, the machine folds into
-one weight a triple (2**18 of them, 1 MB, whatever the corpus): scoring looks up every triple of every word of whole texts.
+words, toxic-looking ones, common ones and those clean ones that were last taken for toxic, far apart in the kernel. A linear
+machine with squared hinge loss is fitted to the Nystroem features. As both the features and the kernel are linear in the subsequences, the machine folds
+into one weight for each (2**19 of them, 2 MB, whatever the corpus; quadruples are hashed): scoring looks up every one of
+every word of whole texts.
 
 The sample for training is at most about `most` documents a label; everything else covers all rows. Cases: null and empty
 texts score as texts without words; each input row gives one row; extra columns are ignored; without labels of both kinds all
@@ -18,7 +19,7 @@ scores are 0.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +33,17 @@ from .common import bound_batches
 from .sampling import held_out, labelled_texts
 
 DECAY = 0.6
-#: Places from the first to the second and from the second to the third character.
-STEPS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
-SYMBOLS = 64
-TRIPLES = SYMBOLS**3
+#: Places from each character of a subsequence to the next.
+STEPS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1))
+FEATURES = 1 << 19
 SAMPLE = 2500
-LANDMARKS = 128
+LANDMARKS = 320
 MODULUS, REST = 5, 0
 _CHUNK = 1 << 18
 
 
 def _codes() -> np.ndarray:
-    code = np.zeros(256, np.int32)
+    code = np.full(256, 63, np.int32)  # marks
     for b in range(256):
         if 97 <= b <= 122 or 65 <= b <= 90:
             code[b] = (b | 32) - 97
@@ -52,7 +52,7 @@ def _codes() -> np.ndarray:
         elif b >= 0xC0:
             code[b] = 36
         elif b >= 0x80:
-            code[b] = 37 + b % 27
+            code[b] = 37 + b % 26
     return code
 
 
@@ -60,39 +60,69 @@ CODE = _codes()
 
 
 def length_norm(n: np.ndarray) -> np.ndarray:
-    """What a word of n bytes is divided by: the root of its triples' squared weights."""
+    """What a word of n bytes is divided by: the root of its subsequences' squared weights."""
     total = np.zeros(len(n))
-    for a, b in STEPS:
-        total += np.maximum(n - a - b, 0) * DECAY ** (2 * (a + b - 2))
+    for steps in STEPS:
+        total += np.maximum(n + 2 - sum(steps), 0) * DECAY ** (2 * (sum(steps) - len(steps)))
     return np.sqrt(np.maximum(total, 1.0))
 
 
-def word_sums(code: np.ndarray, owner: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each word, the sum of `weights` over its triples. owner: the word's number at each byte, -1 outside words."""
-    sums = np.zeros(len(code), np.float32)
-    for a, b in STEPS:
-        d = a + b
-        if len(code) <= d:
-            continue
-        at = code[:-d] << 12
-        at |= code[a : len(code) - b] << 6
-        at |= code[d:]
-        got = weights[at]
-        got *= (owner[:-d] == owner[d:]) & (owner[:-d] >= 0)
-        got *= np.float32(DECAY ** (d - 2))
-        sums[:-d] += got
-    return np.add.reduceat(sums, starts) if len(starts) else np.empty(0, np.float32)
-
-
-def _owner(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    flags = np.zeros(n + 1, np.int32)
-    flags[starts] = 1
-    owner = np.cumsum(flags[:n], dtype=np.int32) - 1
-    inside = np.zeros(n + 1, np.int8)
-    inside[starts] += 1
-    np.subtract.at(inside, ends, 1)
-    owner[np.cumsum(inside[:n]) == 0] = -1
-    return owner
+def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets with a byte between rows that no word has, so that every word has one before and after it."""
+    raw = data.tobytes()
+    out = b"\0" + b"".join([raw[a:b] + b"\0" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    return np.frombuffer(out, np.uint8), at + np.arange(len(at)) + 1
+
+
+class Spans:
+    """Words in padded bytes: for each byte the word it may begin a subsequence of, and the word it may end one of."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        n = len(data)
+        self.starts, self.norm = starts, length_norm(ends - starts)
+        self.code = CODE[data]
+        numbers = np.arange(len(starts), dtype=np.int32)
+        flags = np.zeros(n, np.int32)
+        flags[starts] = 1
+        inside = np.zeros(n + 1, np.int8)
+        inside[starts] = 1
+        inside[ends] -= 1
+        self.head = np.where(np.cumsum(inside[:n], dtype=np.int8) > 0, np.cumsum(flags, dtype=np.int32) - 1, -1).astype(np.int32)
+        self.tail = self.head.copy()
+        self.code[self.head < 0] = 63
+        self.tail[self.tail < 0] = -2
+        self.head[starts - 1] = numbers
+        self.tail[ends] = numbers
+
+    def each(self):
+        """(places, weight, feature, valid) of every way to step through the bytes."""
+        code, n = self.code, len(self.code)
+        for steps in STEPS:
+            d = sum(steps)
+            m = n - d
+            if m <= 0:
+                continue
+            at = code[:m] << 6
+            at |= code[steps[0] : steps[0] + m]
+            at <<= 6
+            if len(steps) == 2:
+                at |= code[d:]
+            else:
+                at |= code[steps[0] + steps[1] : steps[0] + steps[1] + m]
+                at = (at * 64 + code[d:]).view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(14) | np.uint32(1 << 18)
+            yield m, DECAY ** (d - len(steps)), at, self.head[:m] == self.tail[d:]
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        """For each word, the sum of `weights` over its subsequences, over the word's norm."""
+        if not len(self.starts):
+            return np.empty(0)
+        sums = np.zeros(len(self.code), np.float32)
+        for m, decay, at, same in self.each():
+            got = weights[at]
+            got *= same
+            got *= np.float32(decay)
+            sums[:m] += got
+        return np.add.reduceat(sums, self.starts - 1) / self.norm
 
 
 def joined_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,25 +154,22 @@ def joined_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: n
     return data[place], np.append(begin[:-1][heads], begin[-1]), words[heads]
 
 
-def _best_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    code = CODE[data]
-    return word_sums(code, _owner(len(data), starts, ends), starts, weights) / length_norm(ends - starts)
-
-
 def document_margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     """The largest word value of each whole text, 0 at least."""
     out = np.zeros(len(texts))
     for row, _, data, at in bt.chunks(texts, _CHUNK):
+        data, at = padded(data, at)
         starts, ends, first = bt.word_spans(data, at, bt.ALNUM)
         if not len(starts):
             continue
         rows = np.searchsorted(first, np.arange(len(starts)), "right") - 1
         best = np.zeros(len(at) - 1)
         full = np.flatnonzero(np.diff(first) > 0)
-        best[full] = np.maximum(np.maximum.reduceat(_best_of(data, starts, ends, weights), first[full]), 0)
+        best[full] = np.maximum(np.maximum.reduceat(Spans(data, starts, ends).values(weights), first[full]), 0)
         flat, bounds, words = joined_runs(data, starts, ends, first)
         if len(words):
-            np.maximum.at(best, rows[words], _best_of(flat, bounds[:-1], bounds[1:], weights))
+            flat, bounds = padded(flat, bounds)
+            np.maximum.at(best, rows[words], Spans(flat, bounds[:-1], bounds[1:] - 1).values(weights))
         out[row : row + len(best)] = best
     return out
 
@@ -162,47 +189,40 @@ def words_of(texts: pa.Array) -> list[list[bytes]]:
     return out
 
 
-class Words:
-    """A list of words end to end, ready for the kernel."""
+class Words(Spans):
+    """A list of words, ready for the kernel."""
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        data = np.frombuffer(b"".join(words), np.uint8)
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        self.code = CODE[data]
-        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
-        self.norm = length_norm(self.sizes)
+        data, at = padded(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+        super().__init__(data, at[:-1], at[1:] - 1)
 
-    def values(self, weights: np.ndarray) -> np.ndarray:
-        return word_sums(self.code, self.owner, self.starts, weights.astype(np.float32)) / self.norm if self.words else np.empty(0)
-
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, triple, weight) of every triple, weights over the words' norms."""
-        rows, at, weight = [], [], []
-        for a, b in STEPS:
-            d = a + b
-            if len(self.code) <= d:
-                continue
-            same = self.owner[:-d] == self.owner[d:]
-            rows.append(self.owner[:-d][same])
-            at.append((self.code[:-d] << 12 | self.code[a : len(self.code) - b] << 6 | self.code[d:])[same])
-            weight.append(np.full(len(at[-1]), DECAY ** (d - 2)) / self.norm[rows[-1]])
-        empty = np.empty(0, np.int64)
-        return tuple(np.concatenate(x) if x else empty for x in (rows, at, weight))
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, feature, weight) of every subsequence, weights over the words' norms."""
+        found = [(self.head[:m][same], at[same], decay / self.norm[self.head[:m][same]]) for m, decay, at, same in self.each()]
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*found, strict=True)) or ((), (), ())))
 
 
 def kernel(x: Words, y: Words) -> np.ndarray:
     """The kernel of every word of x with every word of y (y: landmarks)."""
-    out = np.zeros((len(x.words), len(y.words)))
-    rows, at, weight = y.triples()
-    for j in range(len(y.words)):
-        table = np.zeros(TRIPLES, np.float32)
-        mine = rows == j
-        np.add.at(table, at[mine], weight[mine])
-        out[:, j] = x.values(table)
-    return out
+    rows, at, weight = y.features()
+    used, slot = np.unique(at, return_inverse=True)
+    place = np.zeros(FEATURES, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    marks = np.zeros((len(used) + 1, len(y.words)), np.float32)
+    np.add.at(marks, (slot + 1, rows), weight)
+    rows, at, weight = x.features()
+    at = place[at]
+    hit = at > 0
+    rows, at, weight = rows[hit], at[hit], weight[hit].astype(np.float32)
+    order = np.argsort(rows, kind="stable")
+    rows, at, weight = rows[order], at[order], weight[order]
+    out = np.zeros((len(x.words), len(y.words)), np.float32)
+    for low in range(0, len(rows), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        heads = np.flatnonzero(np.diff(rows[part], prepend=-1))
+        out[rows[part][heads]] += np.add.reduceat(marks[at[part]] * weight[part, None], heads, axis=0)
+    return out.astype(float)
 
 
 def _spread(words: list[bytes], n: int) -> list[bytes]:
@@ -218,23 +238,20 @@ def _spread(words: list[bytes], n: int) -> list[bytes]:
     return [words[i] for i in take]
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int = 12, reg: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Averaged stochastic sub-gradient steps on the weighted hinge loss, in small batches."""
-    w, bias = np.zeros(z.shape[1]), 0.0
-    mean, mean_bias, seen, t = np.zeros_like(w), 0.0, 0, 0
-    for epoch in range(epochs):
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
-            t += 1
-            step = 4.0 / (1 + t / 200)
-            miss = y[batch] * (z[batch] @ w + bias) < 1
-            push = (y[batch] * weight[batch])[miss] / len(batch)
-            w = (1 - min(0.5, step * reg)) * w + step * push @ z[batch][miss]
-            bias += 0.2 * step * push.sum()
-            if epoch >= epochs // 2:
-                mean += w
-                mean_bias += bias
-                seen += 1
-    return mean / max(seen, 1), mean_bias / max(seen, 1)
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-6, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weighted squared hinge loss, minimised by Newton steps over the examples inside the margin."""
+    x = np.concatenate((z, np.ones((len(y), 1))), 1)
+    weight = weight / weight.sum()
+    ridge = np.full(x.shape[1], reg)
+    beta, inside = np.zeros(x.shape[1]), np.ones(len(y), bool)
+    for _ in range(steps):
+        part = x[inside] * weight[inside][:, None]
+        beta = np.linalg.solve(part.T @ x[inside] + np.diag(ridge), part.T @ y[inside])
+        now = y * (x @ beta) < 1
+        if (now == inside).all():
+            break
+        inside = now
+    return beta[:-1], float(beta[-1])
 
 
 def _platt(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
@@ -263,63 +280,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * document_margins(texts, self.weights) + self.shift, -500, 500)))
 
 
-def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 11) -> Model:
+def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds: int = 16, settle: int = 4, seed: int = 11) -> Model:
     """Fits the machine to (label, distinct words) of labelled documents."""
-    bags = sorted(((y, [w for w in words if 3 <= len(w) <= 48]) for y, words in bags), key=lambda b: (b[0], b[1]))
+    bags = sorted(((y, [w for w in words if 3 <= len(w) <= 200]) for y, words in bags), key=lambda b: (b[0], b[1]))
     toxic, clean = [w for y, w in bags if y == 1 and w], [w for y, w in bags if y != 1 and w]
     if not toxic or not clean:
-        return Model(np.zeros(TRIPLES), 0.0, -1000.0, [])
+        return Model(np.zeros(FEATURES), 0.0, -1000.0, [])
     rng = np.random.default_rng(seed)
     up, down = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     odds = {w: np.log((k + 0.1) / (len(toxic) + 1) / ((down[w] + 0.5) / (len(clean) + 1))) * (k > 1) for w, k in up.items()}
-    witness = [max(b, key=lambda w: (odds[w] * np.log1p(up[w]), w)) for b in toxic]
-    bad = [w for w, _ in sorted(Counter(witness).items(), key=lambda x: (-x[1], x[0]))]
-    plain = [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0]))[:1500]]
-    chosen = _spread(bad[:600], landmarks * 3 // 4)
-    chosen += _spread([w for w in plain if w not in set(chosen)], landmarks - len(chosen))
-    marks = Words(chosen)
-    gram = kernel(marks, marks)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-4 * values[-1]
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    rows, at, weight = marks.triples()
-
-    def folded(w: np.ndarray) -> np.ndarray:
-        table = np.zeros(TRIPLES)
-        np.add.at(table, at, weight * (root @ w)[rows])
-        return table
-
+    worth = {w: o * np.log1p(up[w]) for w, o in odds.items()}
+    witness = Counter(max(b, key=lambda w: (worth[w], w)) for b in toxic)
+    suspect = [w for w in sorted(odds, key=lambda w: (-worth[w], w)) if up[w] > 2 and up[w] / len(toxic) > 3 * (down[w] + 3) / len(clean)]  # seen more than chance explains
+    trusted = set(suspect)
+    bad = _spread(suspect[:800], landmarks // 3) or sorted(witness)[: landmarks // 3]
+    plain = [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0]))[:1000]]
     every = sorted(set(down))
-    pool = Words(every)
-    place = {w: i for i, w in enumerate(every)}
+    pool, place = Words(every), {w: i for i, w in enumerate(every)}
+    seen = np.array([down[w] for w in every], float)
     bounds = np.cumsum([0, *map(len, clean)])
     flat = np.array([place[w] for b in clean for w in b])
     bad_words = sorted({w for b in toxic for w in b})
     bad_pool, bad_place = Words(bad_words), {w: i for i, w in enumerate(bad_words)}
     bad_flat = [np.array([bad_place[w] for w in b]) for b in toxic]
     hard = set(rng.choice(len(every), min(len(every), 6000), replace=False).tolist())
-    table, bias = np.zeros(TRIPLES), 0.0
-    for _ in range(rounds):
-        counts = Counter(witness)
-        ones = sorted(counts)
-        zeros = [every[i] for i in sorted(hard)]
-        z = kernel(Words(ones + zeros), marks) @ root
+    near: list[bytes] = []
+    worst, known, boost = np.zeros(len(every)), {}, defaultdict(lambda: 1.0)
+    for turn in range(rounds):
+        if turn < settle:
+            taken = set(bad)
+            marks = Words(bad + _spread([w for w in dict.fromkeys(near + plain) if w not in taken], landmarks - len(bad)))
+            gram = kernel(marks, marks)
+            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+            keep = values > 1e-5 * values[-1]
+            root = vectors[:, keep] / np.sqrt(values[keep])
+            rows, at, weight = marks.features()
+            known = {}
+        counts = witness + Counter({w: up[w] for w in suspect})
+        ones, zeros = sorted(counts), [every[i] for i in sorted(hard)]
+        new = [w for w in dict.fromkeys(ones + zeros) if w not in known]
+        known |= dict(zip(new, kernel(Words(new), marks) @ root, strict=True))
+        z = np.stack([known[w] for w in ones + zeros])
         y = np.concatenate((np.ones(len(ones)), -np.ones(len(zeros))))
-        share = np.concatenate((np.sqrt([counts[w] for w in ones]), np.ones(len(zeros))))
-        share[: len(ones)] *= 0.5 * len(y) / share[: len(ones)].sum()
-        share[len(ones) :] *= 0.5 * len(y) / share[len(ones) :].sum()
-        w, bias = _svm(z, y, share, rng)
-        table = folded(w)
-        worst = pool.values(table)
+        share = np.array([*(counts[w] * boost[w] for w in ones), *(min(down[w], 100) * boost[w] for w in zeros)])
+        share[: len(ones)] /= share[: len(ones)].sum()
+        share[len(ones) :] /= 0.5 * share[len(ones) :].sum()
+        w, bias = _svm(z, y, share)
+        for word, wrong in zip(ones + zeros, y * (z @ w + bias) < 0.6, strict=True):
+            if wrong:  # what stays on the wrong side counts more next time
+                boost[word] = min(64.0, boost[word] * 1.5)
+        table = np.zeros(FEATURES)
+        np.add.at(table, at, weight * (root @ w)[rows])
+        worst = pool.values(table.astype(np.float32))
         hard |= {int(flat[a:b][np.argmax(worst[flat[a:b]])]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)}
         hard |= set(np.argsort(-worst)[:4000].tolist())
-        value = bad_pool.values(table)
-        witness = [b[int(np.argmax(value[i] + 0.5 * np.array([odds[w] > 2 for w in b])))] for b, i in zip(toxic, bad_flat, strict=True)]
-    value, worst = bad_pool.values(table), pool.values(table)
+        near = [*dict.fromkeys([*(every[i] for i in np.argsort(-(worst - worst.mean()) * np.sqrt(seen))[:200]), *near])]
+        value = bad_pool.values(table.astype(np.float32))
+        witness = Counter(b[int(np.argmax(value[i] + np.array([0.5 * (w in trusted) for w in b])))] for b, i in zip(toxic, bad_flat, strict=True))
+    value, worst = bad_pool.values(table.astype(np.float32)), pool.values(table.astype(np.float32))
     ones = np.array([max(0.0, value[i].max()) for i in bad_flat])
     zeros = np.maximum(np.maximum.reduceat(worst[flat], bounds[:-1]), 0.0)
-    slope, shift = _platt(np.concatenate((ones, zeros)), np.arange(len(ones) + len(zeros)) < len(ones))
-    return Model(table, slope, shift, chosen)
+    slope, _ = _platt(np.concatenate((ones, zeros)), np.arange(len(ones) + len(zeros)) < len(ones))
+    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 0.999)) / 2  # where 0.5 lies
+    return Model(table, max(slope, 0.1), -max(slope, 0.1) * middle, marks.words)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, modulus: int = MODULUS, rest: int = REST) -> Model:
