@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, minhash, tokenstore, toxicity
+from . import decontaminate, langid, minhash, quality, tokenstore, toxicity
 from .common import table
 
 
@@ -12,10 +12,18 @@ def op1_token_store(spark, sf_dir):
     return tokenstore.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark, sf_dir):
+    return langid.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,5 +32,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op7_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_near_duplicates, op6_language, op7_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
