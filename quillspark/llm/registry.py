@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, langid, minhash, quality, tokenstore, toxicity
+from . import decontaminate, langid, minhash, mixing, quality, tokenstore, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark, sf_dir):
+    return mixing.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark, sf_dir):
     return langid.verdicts(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_near_duplicates, op6_language, op7_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_near_duplicates, op5_mix_sources, op6_language, op7_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
