@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, langid, minhash, mixing, quality, tokenstore, toxicity
+from . import decontaminate, embeddings, langid, minhash, mixing, quality, tokenstore, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_vectors(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op4_near_duplicates, op5_mix_sources, op6_language, op7_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_near_vectors, op4_near_duplicates, op5_mix_sources, op6_language, op7_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
