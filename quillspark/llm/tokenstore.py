@@ -27,7 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from .common import bound_batches, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
+#: A shard has about so many documents; a store of more than MOST_SHARDS times that has larger shards.
+SHARD_DOCUMENTS, MOST_SHARDS = 1024, 20_000
 MAGIC = b"QTOK1\n"
 SAMPLE = 512
 _BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -140,70 +142,164 @@ class Block:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+class _Codes(dict):
+    """Numbers pieces as they are first met; the numbers are shared by all pieces of one encoder."""
+
+    def __init__(self, owner: PieceEncoder, lead: str):
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, piece: str) -> int:
+        new = self.owner.new
+        code = self[piece] = self.owner.coded + len(new)
+        new.append(self.lead + piece)
+        return code
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, each distinct piece once.
 
     Such a tokenizer never joins what stands before a single space between two non-spaces with what stands from it on, so a
-    text's ids are those of its pieces, cut there, in turn. `keep` bounds how many pieces are remembered.
+    text's ids are those of its pieces, cut there, in turn. Pieces met for the first time go to the library many at a time, end
+    to end; the bytes that each id stands for tell them apart again. `keep` bounds how many pieces are remembered.
     """
 
-    BESIDE = re.compile(r"^ | \s|\s | $")
+    SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    LETTERS = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.keep, self.longest, self.known = keep, longest, {}
+        # for pieces that are a space and letters, where cutting at the space is all that the file's own rules do
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+        plain = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.bytes_of = np.array([len(t.encode()) if t in plain else len(t) for t in (self.tokenizer.id_to_token(i) or "" for i in range(size))], np.int64)
+        self.end_id, self.keep = end_id, keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.new: list[str] = []
+        self.heads, self.tails = _Codes(self, ""), _Codes(self, " ")
+        self.pool, self.used = np.array([self.end_id] * 1024, self.kind), 1
+        self.at, self.sizes, self.uses, self.coded = np.zeros(1024, np.int64), np.ones(1024, np.int64), np.zeros(1024, np.int64), 1  # code 0: the end id
 
     def pieces(self, text: str) -> list[str]:
-        cut = self.CUT.split(text) if self.BESIDE.search(text) else text.split(" ")
-        return [cut[0], *map(" ".__add__, cut[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > self.keep:
-            self.known = {}
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        long = [p for p in new if len(p) > self.longest]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, self.kind).tobytes()
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in long:
-            del self.known[piece]
-        return out
+        """Pieces of text, each without the space before it."""
+        beside = [c for c in self.SPACES if c in text]
+        if text[:1].isspace() or text[-1:].isspace() or "  " in text or any(f" {c}" in text or f"{c} " in text for c in beside):
+            return self.CUT.split(text)
+        return text.split(" ")
+
+    def _learn(self) -> None:
+        """Has the library encode what is new: pieces that begin with their only space go end to end, others alone."""
+        pieces, self.new = self.new, []
+        if not pieces:
+            return
+        n = len(pieces)
+        if self.coded + n > len(self.at):
+            self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(self.coded + n, np.int64))) for x in (self.at, self.sizes, self.uses))
+        alone, mixed, plain = [], [], []
+        for i, p in enumerate(pieces):
+            (plain if self.LETTERS(p) else alone if p[0:1] != " " or p[1:2].isspace() or p[-1:].isspace() else mixed).append(i)
+        for tokenizer, rest in ((self.letters, plain), (self.tokenizer, mixed)):
+            groups = [rest[k : k + 128] for k in range(0, len(rest), 128)]
+            got = tokenizer.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)
+            ids = np.array([i for x in got for i in x.ids], self.kind)
+            reach = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(pieces[i].encode()) for i in rest])
+            cuts = np.searchsorted(reach, ends, "right")
+            if len(rest) and (cuts[-1] != len(ids) or (cuts == 0).any() or (reach[cuts - 1] != ends).any()):
+                alone += rest  # a tokenizer that joins pieces after all
+                continue
+            self._keep(np.array(rest, np.int64) + self.coded, np.diff(cuts, prepend=0), ids)
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+        self._keep(np.array(alone, np.int64) + self.coded, np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], self.kind))
+        self.coded += n
+
+    def _keep(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(end, self.kind)))
+        self.pool[self.used : end] = ids
+        self.sizes[codes] = sizes
+        self.at[codes] = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+
+    def _forget_rare(self) -> None:
+        """Drops the pieces that were met once; all, if that leaves too many."""
+        old, uses, at, sizes, pool = (self.heads, self.tails), self.uses, self.at, self.sizes, self.pool
+        if (uses[1 : self.coded] > 1).sum() > self.keep // 2:
+            uses = np.zeros_like(uses)
+        self._forget()
+        for known, now in zip(old, (self.heads, self.tails), strict=True):
+            stay = [(p, c) for p, c in known.items() if uses[c] > 1]
+            codes = np.array([c for _, c in stay], np.int64)
+            now.update(zip([p for p, _ in stay], range(self.coded, self.coded + len(stay)), strict=True))
+            m = self.coded + len(stay)
+            if m > len(self.at):
+                self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(m, np.int64))) for x in (self.at, self.sizes, self.uses))
+            n = sizes[codes]
+            place = np.repeat(at[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            self._keep(np.arange(self.coded, m), n, pool[place])
+            self.coded = m
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, the end id after each, and their bounds."""
+        if self.coded > self.keep:
+            self._forget_rare()
+        codes: list[int] = []
+        bounds = [0]
+        for text in texts:
+            pieces = self.pieces(text)
+            codes.append(self.heads[pieces[0]])
+            codes += map(self.tails.__getitem__, pieces[1:])
+            codes.append(0)
+            bounds.append(len(codes))
+        self._learn()
+        code = np.array(codes, np.int64)
+        self.uses[: self.coded] += np.bincount(code, minlength=self.coded)
+        sizes = self.sizes[code]
+        ends = np.cumsum(sizes)
+        out = self.pool[np.repeat(self.at[code] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.concatenate(([0], ends))[bounds]
+
+
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> PieceEncoder:
+    """This process's encoder for a tokenizer file; a Python worker keeps it from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (shard, doc_id, ids): ids with the end id as packed little-endian integers; shard by `bounds` of doc_id, nulls in the last."""
     bound_batches(docs.sparkSession)
     edges = np.array(bounds, np.int64)
-    held: dict = {}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = held.setdefault("coder", None) or PieceEncoder(tokenizer_path)
-        end = np.array([end_id], coder.kind).tobytes()
+        coder = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids = part.column(0)
                 shard = np.where(ids.is_null().to_numpy(False), len(edges), np.searchsorted(edges, ids.fill_null(0).to_numpy(False), "right")).astype(np.int32)
-                got = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(got, pa.binary())], names=["shard", "doc_id", "ids"])
+                got, bounds = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((bounds * got.itemsize).astype(np.int32)), pa.py_buffer(got)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, packed], names=["shard", "doc_id", "ids"])
 
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(each, "shard int, doc_id bigint, ids binary")
 
 
-def id_bytes_of(tokenizer_path: str) -> int:
-    return int(PieceEncoder(tokenizer_path).kind[-1])
-
-
 def _bounds(docs: DataFrame, doc_id: str, shards: int) -> list[int]:
-    got = docs.select(F.percentile_approx(F.col(f"`{doc_id}`").cast("bigint"), [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    got = docs.select(F.percentile_approx(F.col(f"`{doc_id}`").cast("bigint"), [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] if shards > 1 else None
     return sorted(set(got or []))
 
 
@@ -213,8 +309,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     Texts are encoded where they are read; only packed ids are shuffled, once, to their shards.
     """
     spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_bytes = id_bytes_of(tokenizer_path)
+    if shards is None:
+        shards = min(MOST_SHARDS, max(1, docs.count() // SHARD_DOCUMENTS))
+    id_bytes = int(encoder(tokenizer_path, end_id).kind[-1])
     encoded = encode_documents(docs, tokenizer_path, _bounds(docs, doc_id, shards), end_id, text, doc_id)
     placed = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
 

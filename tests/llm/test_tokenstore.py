@@ -44,9 +44,18 @@ def test_space_is_near_the_minimum():
 @given(st.text(st.sampled_from(" \n\t ab'sé,.1<|endoftext|>　\x1c"), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_the_ids_of_the_whole_text(text):
-    coder = S.PieceEncoder.__new__(S.PieceEncoder)
-    coder.tokenizer, coder.kind, coder.keep, coder.longest, coder.known = TOK, "<u2", 100, 8, {}
-    assert np.frombuffer(coder.encode([text])[0], "<u2").tolist() == TOK.encode(text, add_special_tokens=False).ids
+    coder = S.encoder(PATH)
+    ids, bounds = coder.encode(["", text, f"a {text} b"])
+    whole = [[*TOK.encode(t, add_special_tokens=False).ids, 2] for t in ("", text, f"a {text} b")]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole
+
+
+def test_encoder_forgets_and_goes_on():
+    coder = S.PieceEncoder(PATH, keep=50)
+    for k in range(30):
+        texts = [f"some words {k} and wörds{k * j} more\n" for j in range(9)]
+        ids, bounds = coder.encode(texts)
+        assert [ids[a : b - 1].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_whole_table(spark, sf):
