@@ -28,9 +28,14 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: later stages restart from that table, not from df's lineage."""
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet under the shared folder and reads it back: later stages restart from that table, not from df's lineage.
+
+    files: at most so many files, for a table known to be small.
+    """
     spark = df.sparkSession
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_folder(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -80,7 +85,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _fingerprint(now)
     while seen[0]:
-        grown = cut(_star(_star(now, True), False), name)
+        grown = cut(_star(_star(now, True), False), name, 2 + seen[0] // 50_000)  # steps never add edges
         mark = _fingerprint(grown)
         discard(now)
         now = grown

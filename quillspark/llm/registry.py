@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, embeddings, langid, licenses, minhash, mixing, quality, tokenstore, toxicity
+from . import decontaminate, embeddings, langid, licenses, linededup, minhash, mixing, quality, tokenstore, toxicity
 from .common import table
 
 
@@ -40,9 +40,13 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return linededup.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_near_vectors, op4_near_duplicates, op5_mix_sources, op6_language, op7_toxicity, op8_licenses, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_near_vectors, op4_near_duplicates, op5_mix_sources, op6_language, op7_toxicity, op8_licenses, op9_line_dedup, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
