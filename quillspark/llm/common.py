@@ -37,7 +37,7 @@ def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     if files is not None:
         df = df.coalesce(files)
     path = f"{shared_folder(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out

@@ -6,8 +6,8 @@ gives the same chunks wherever it stands, whatever stands before it. A chunk of
 more than once in all documents is kept where it occurs first, by (doc_id, digest of the text, place), and removed elsewhere.
 
 Chunks are counted by a 128-bit hash, by an aggregate with partial sums, so a chunk that a third of all documents share is no
-hot key. Then the bytes of all occurrences are compared: the smallest and the largest text under one hash must be equal. Should
-two texts ever share a hash, the whole is done again with another seed.
+hot key. Then the bytes of all occurrences are compared: the smallest and the largest under one hash must be equal (deflated, which
+equal bytes alone have in common). Should two texts ever share a hash, the whole is done again with another seed.
 
 Cases: a null text stays null and has 0 lines, an empty one has one empty line; chunks of nothing but blank lines stay; rows
 with equal id and text are one document with several rows, all cleaned alike; rows with a null doc_id come last in the order;
@@ -17,6 +17,7 @@ columns of any name pass through; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,10 +104,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
                 for a, _, chunk, counts in line_chunks(x):
                     if counts and a in by:
                         hashes.append(by[a])
-                        chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.string())], names=["hash", "chunk"])
+                        chunks.append(zlib.compress(chunk.encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
 
-    seen = ready.where("marks is not null").select("__text", "marks").mapInArrow(texts_of, "hash binary, chunk string")
+    seen = ready.where("marks is not null").select("__text", "marks").mapInArrow(texts_of, "hash binary, chunk binary")
     if not seen.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").isEmpty():
         return dedup_lines(docs, text, doc_id, HASH_BYTES, seed + 1)
 

@@ -36,8 +36,8 @@ DECAY = 0.6
 #: Places from each character of a subsequence to the next.
 STEPS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1))
 FEATURES = 1 << 19
-SAMPLE = 2500
-LANDMARKS = 320
+SAMPLE = 1200
+LANDMARKS = 256
 MODULUS, REST = 5, 0
 _CHUNK = 1 << 18
 
@@ -218,11 +218,11 @@ def kernel(x: Words, y: Words) -> np.ndarray:
     order = np.argsort(rows, kind="stable")
     rows, at, weight = rows[order], at[order], weight[order]
     out = np.zeros((len(x.words), len(y.words)), np.float32)
-    for low in range(0, len(rows), 1 << 16):
-        part = slice(low, low + (1 << 16))
+    for low in range(0, len(rows), 1 << 14):
+        part = slice(low, low + (1 << 14))
         heads = np.flatnonzero(np.diff(rows[part], prepend=-1))
         out[rows[part][heads]] += np.add.reduceat(marks[at[part]] * weight[part, None], heads, axis=0)
-    return out.astype(float)
+    return out
 
 
 def _spread(words: list[bytes], n: int) -> list[bytes]:
@@ -240,13 +240,13 @@ def _spread(words: list[bytes], n: int) -> list[bytes]:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-6, steps: int = 40) -> tuple[np.ndarray, float]:
     """Weighted squared hinge loss, minimised by Newton steps over the examples inside the margin."""
-    x = np.concatenate((z, np.ones((len(y), 1))), 1)
+    x = np.concatenate((z, np.ones((len(y), 1), z.dtype)), 1)
     weight = weight / weight.sum()
     ridge = np.full(x.shape[1], reg)
     beta, inside = np.zeros(x.shape[1]), np.ones(len(y), bool)
     for _ in range(steps):
-        part = x[inside] * weight[inside][:, None]
-        beta = np.linalg.solve(part.T @ x[inside] + np.diag(ridge), part.T @ y[inside])
+        near, share = x[inside].astype(float), weight[inside]
+        beta = np.linalg.solve((near * share[:, None]).T @ near + np.diag(ridge), near.T @ (share * y[inside]))
         now = y * (x @ beta) < 1
         if (now == inside).all():
             break
@@ -282,15 +282,17 @@ class Model:
 
 def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds: int = 16, settle: int = 4, seed: int = 11) -> Model:
     """Fits the machine to (label, distinct words) of labelled documents."""
-    bags = sorted(((y, [w for w in words if 3 <= len(w) <= 200]) for y, words in bags), key=lambda b: (b[0], b[1]))
+    one: dict[bytes, bytes] = {}
+    bags = sorted(((y, [one.setdefault(w, w) for w in words if 3 <= len(w) <= 200]) for y, words in bags), key=lambda b: (b[0], b[1]))
+    del one
     toxic, clean = [w for y, w in bags if y == 1 and w], [w for y, w in bags if y != 1 and w]
     if not toxic or not clean:
         return Model(np.zeros(FEATURES), 0.0, -1000.0, [])
     rng = np.random.default_rng(seed)
     up, down = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    odds = {w: np.log((k + 0.1) / (len(toxic) + 1) / ((down[w] + 0.5) / (len(clean) + 1))) * (k > 1) for w, k in up.items()}
-    worth = {w: o * np.log1p(up[w]) for w, o in odds.items()}
-    witness = Counter(max(b, key=lambda w: (worth[w], w)) for b in toxic)
+    odds = {w: float(np.log((k + 0.1) / (len(toxic) + 1) / ((down[w] + 0.5) / (len(clean) + 1)))) for w, k in up.items() if k > 1}
+    worth = {w: o * float(np.log1p(up[w])) for w, o in odds.items()}
+    witness = Counter(max(b, key=lambda w: (worth.get(w, 0.0), w)) for b in toxic)
     suspect = [w for w in sorted(odds, key=lambda w: (-worth[w], w)) if up[w] > 2 and up[w] / len(toxic) > 3 * (down[w] + 3) / len(clean)]  # seen more than chance explains
     trusted = set(suspect)
     bad = _spread(suspect[:800], landmarks // 3) or sorted(witness)[: landmarks // 3]
@@ -319,7 +321,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
         counts = witness + Counter({w: up[w] for w in suspect})
         ones, zeros = sorted(counts), [every[i] for i in sorted(hard)]
         new = [w for w in dict.fromkeys(ones + zeros) if w not in known]
-        known |= dict(zip(new, kernel(Words(new), marks) @ root, strict=True))
+        known |= dict(zip(new, kernel(Words(new), marks) @ root.astype(np.float32), strict=True))
         z = np.stack([known[w] for w in ones + zeros])
         y = np.concatenate((np.ones(len(ones)), -np.ones(len(zeros))))
         share = np.array([*(counts[w] * boost[w] for w in ones), *(min(down[w], 100) * boost[w] for w in zeros)])
@@ -341,7 +343,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
     ones = np.array([max(0.0, value[i].max()) for i in bad_flat])
     zeros = np.maximum(np.maximum.reduceat(worst[flat], bounds[:-1]), 0.0)
     slope, _ = _platt(np.concatenate((ones, zeros)), np.arange(len(ones) + len(zeros)) < len(ones))
-    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 0.999)) / 2  # where 0.5 lies
+    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 0.995)) / 2  # where 0.5 lies
     return Model(table, max(slope, 0.1), -max(slope, 0.1) * middle, marks.words)
 
 
@@ -352,9 +354,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, modulus: int =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of(batch.column(1)), pa.list_(pa.binary()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(w) for w in words_of(batch.column(1))], pa.binary())], names=["label", "words"])
 
-    return fit([(r.label, [bytes(w) for w in r.words]) for r in sample.mapInArrow(each, "label int, words array<binary>").toLocalIterator()])
+    bags = [(label, bytes(words).split(b" ")) for label, words in sample.mapInArrow(each, "label int, words binary").toLocalIterator()]
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return fit(bags)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
