@@ -280,7 +280,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * document_margins(texts, self.weights) + self.shift, -500, 500)))
 
 
-def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds: int = 16, settle: int = 4, seed: int = 11) -> Model:
+def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds: int = 30, settle: int = 4, seed: int = 11) -> Model:
     """Fits the machine to (label, distinct words) of labelled documents."""
     one: dict[bytes, bytes] = {}
     bags = sorted(((y, [one.setdefault(w, w) for w in words if 3 <= len(w) <= 200]) for y, words in bags), key=lambda b: (b[0], b[1]))
@@ -330,7 +330,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
         w, bias = _svm(z, y, share)
         for word, wrong in zip(ones + zeros, y * (z @ w + bias) < 0.6, strict=True):
             if wrong:  # what stays on the wrong side counts more next time
-                boost[word] = min(64.0, boost[word] * 1.5)
+                boost[word] = min(4096.0, boost[word] * 2)
         table = np.zeros(FEATURES)
         np.add.at(table, at, weight * (root @ w)[rows])
         worst = pool.values(table.astype(np.float32))
@@ -339,6 +339,8 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
         near = [*dict.fromkeys([*(every[i] for i in np.argsort(-(worst - worst.mean()) * np.sqrt(seen))[:200]), *near])]
         value = bad_pool.values(table.astype(np.float32))
         witness = Counter(b[int(np.argmax(value[i] + np.array([0.5 * (w in trusted) for w in b])))] for b, i in zip(toxic, bad_flat, strict=True))
+        if turn >= settle and np.maximum.reduceat(worst[flat], bounds[:-1]).max() < 0.75 and min(value[i].max() for i in bad_flat) > 0.85:
+            break
     value, worst = bad_pool.values(table.astype(np.float32)), pool.values(table.astype(np.float32))
     ones = np.array([max(0.0, value[i].max()) for i in bad_flat])
     zeros = np.maximum(np.maximum.reduceat(worst[flat], bounds[:-1]), 0.0)
