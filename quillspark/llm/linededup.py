@@ -92,9 +92,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
     bound_batches(spark)
     names = docs.columns
     marks = repeated_chunks(docs, text, doc_id, seed, hash_bytes)
-    keyed = _keyed(docs, text, doc_id).select(*(F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(names)), "__id", "__tie", "__text")
-    joined = keyed.join(marks, F.col("__id").eqNullSafe(F.col("id")) & F.col("__tie").eqNullSafe(F.col("tie")), "left").select(*(f"d_{i}" for i in range(len(names))), "__text", "marks")
+    # the text travels once: it is one of the columns that pass through
+    at = names.index(text)
+    keyed = _keyed(docs, text, doc_id).select(*(F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(names)), "__id", "__tie")
+    joined = keyed.join(marks, F.col("__id").eqNullSafe(F.col("id")) & F.col("__tie").eqNullSafe(F.col("tie")), "left").select(*(f"d_{i}" for i in range(len(names))), "marks")
     ready = cut(joined, "lines-marked")
+    own = F.col(f"d_{at}").cast("string").alias("__text")
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +110,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
                         chunks.append(zlib.compress(chunk.encode(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
 
-    seen = ready.where("marks is not null").select("__text", "marks").mapInArrow(texts_of, "hash binary, chunk binary")
+    seen = ready.where("marks is not null").select(own, "marks").mapInArrow(texts_of, "hash binary, chunk binary")
     if not seen.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").isEmpty():
         return dedup_lines(docs, text, doc_id, HASH_BYTES, seed + 1)
 
@@ -118,7 +121,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, marked in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            for x, marked in zip(batch.column(at).cast(pa.string()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 drop = {m["place"] for m in marked or () if not m["keep"]}
                 if x is None or not drop:
                     out.append({"n_lines": 0 if x is None else x.count("\n") + 1, "n_removed": 0, "words_removed": 0, "text": x})
