@@ -28,14 +28,18 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+def few(df: DataFrame, for_each_core: int = 4) -> DataFrame:
+    """df in at most so many partitions for each core of the cluster; a task takes its partitions one after the other."""
+    return df.coalesce(for_each_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: later stages restart from that table, not from df's lineage.
 
-    files: at most so many files, for a table known to be small.
+    files: at most so many files, for a table known to be small; else a few for each core.
     """
     spark = df.sparkSession
-    if files is not None:
-        df = df.coalesce(files)
+    df = few(df) if files is None else df.coalesce(min(files, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_folder(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

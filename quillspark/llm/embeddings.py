@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut
+from .common import bound_batches, components, cut, few
 
 COSINE = 0.98
-#: Lists at most; else the root of the number of entries.
-LISTS = 1024
+#: Lists at most; below that one for so many entries: fewer lists mean fewer probes of each query.
+LISTS, LIST_ENTRIES = 1024, 4096
 PARTS, WORDS = 16, 32
 SAMPLE = 8192
 BLOCK = 2048
@@ -155,7 +155,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, s
     chosen = entries.where(F.pmod(F.xxhash64("label", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / size))).select("v").toArrow().column("v")
     if not len(chosen):
         chosen = entries.orderBy("name").limit(1).select("v").toArrow().column("v")
-    shared = spark.sparkContext.broadcast(Index(unit(_matrix(chosen)), min(lists, max(16, int(size**0.5)))))  # lists x dimensions and codewords: fixed
+    shared = spark.sparkContext.broadcast(Index(unit(_matrix(chosen)), min(lists, max(8, size // LIST_ENTRIES))))  # lists x dimensions and codewords: fixed
 
     def place(batches):
         index = shared.value
@@ -226,5 +226,5 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, s
     named = full.join(smallest, "root").select("name", "component").join(links, "name", "left")
     each = mine.join(named, "name").groupBy("vec_id").agg(F.min("component").alias("component"), F.max(F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     known = each.where("vec_id is not null")
-    out = rows.select("vec_id").join(known, "vec_id", "left")
+    out = few(rows.select("vec_id").join(known, "vec_id", "left"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))

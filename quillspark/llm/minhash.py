@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import bound_batches, components, cut
+from .common import bound_batches, components, cut, few
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -189,5 +189,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     members = clusters.join(base.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_bytes").alias("n_bytes")), "node").withColumnRenamed("node", "doc_id")
     source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
     known = components(confirmed(members, source).union(copies), "minhash-links")
-    out = base.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = few(base.select("doc_id", "n_shingles").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left"))
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -171,6 +171,7 @@ def mix(docs: DataFrame, keep: list[str], share: float = SHARE, most: float = MO
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    out = few(out)
     return out.select(*keep, "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"), "tie")
 
 
@@ -189,5 +190,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         # rows alike in id, source and text have one key: its copies are dealt out over them
         rank = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_tie").orderBy(*(f"d_{i}" for i in range(len(docs.columns)))))
         met = met.withColumn("copies", F.floor(F.col("copies") / F.col("n")) + (rank <= F.col("copies") % F.col("n")).cast("bigint")).where("copies > 0")
-    rows = met.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = few(met).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*(F.col(f"d_{i}").alias(c) for i, c in enumerate(docs.columns)))
