@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, minhash, mixing, tokenstore, toxicity
-from quillspark.llm.common import shared_folder, table
+from quillspark.llm.common import few, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rest = few(docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
     if twice.isEmpty():
         return rest
