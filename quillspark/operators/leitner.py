@@ -32,7 +32,7 @@ def rate_limit(events: DataFrame, key: str, window_seconds: int, most: int) -> D
     An event is allowed while fewer than `most` allowed ones lie less than the window before it; refused ones use up nothing,
     so this is a fold that carries the allowed times, not a range window.
     """
-    listed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("attempted_at").alias("at"), "event_id"))).alias("events"))
+    listed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("attempted_at").cast("timestamp")).alias("at"), "event_id"))).alias("events"))
     span = F.lit(window_seconds * 1_000_000).cast("bigint")
     out_type = "array<struct<event_id:bigint,allowed:boolean,remaining:int,reset_at:bigint>>"
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast(out_type).alias("out"))
