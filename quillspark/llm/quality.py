@@ -111,7 +111,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
 
 
-def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 1.0, seed: int = 5) -> Model:
+def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 5) -> Model:
     """Trains vectors and output layer on (label, buckets, counts); both labels weigh the same."""
     documents = sorted((d for d in documents if len(d[1])), key=lambda d: (d[0], len(d[1]), d[1].tobytes(), d[2].tobytes()))
     labels = np.array([d[0] for d in documents])
@@ -134,10 +134,11 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, r
             p[int(label == 1)] -= 1
             pace = rate * share[i] * (1 - step / total)
             back = p @ output
-            output -= pace * np.outer(p, hidden)
+            output -= pace * np.outer(p, hidden) / max(1.0, float(hidden @ hidden))
             bias -= 0.1 * pace * p
-            # a feature's step is its weight times the number of features: rare and common ones learn alike
-            vectors[buckets] = mine - pace * np.minimum(weight * len(buckets), 8)[:, None] * back
+            # features share the step so that the document's own vector moves by it, whatever the text's length; none takes over eight parts
+            parts = np.minimum(weight * len(buckets), 8)
+            vectors[buckets] = (1 - 1e-4 * pace) * mine - (pace / (weight @ parts)) * parts[:, None] * back
             step += 1
     return Model(vectors @ (output[1] - output[0]), float(bias[1] - bias[0]))
 

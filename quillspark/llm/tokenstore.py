@@ -27,7 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +167,7 @@ class PieceEncoder:
     CUT = re.compile(r"(?<=\S) (?=\S)")
     LETTERS = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str, end_id: int = END_ID, keep: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -186,7 +186,8 @@ class PieceEncoder:
         self.new: list[str] = []
         self.heads, self.tails = _Codes(self, ""), _Codes(self, " ")
         self.pool, self.used = np.array([self.end_id] * 1024, self.kind), 1
-        self.at, self.sizes, self.uses, self.coded = np.zeros(1024, np.int64), np.ones(1024, np.int64), np.zeros(1024, np.int64), 1  # code 0: the end id
+        self.at, self.sizes, self.uses = np.zeros(1024, np.int32), np.ones(1024, np.int32), np.zeros(1024, np.int32)
+        self.coded, self.letters_kept = 1, 0  # code 0: the end id
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of text, each without the space before it."""
@@ -201,8 +202,9 @@ class PieceEncoder:
         if not pieces:
             return
         n = len(pieces)
+        self.letters_kept += sum(map(len, pieces))
         if self.coded + n > len(self.at):
-            self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(self.coded + n, np.int64))) for x in (self.at, self.sizes, self.uses))
+            self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(self.coded + n, np.int32))) for x in (self.at, self.sizes, self.uses))
         alone, mixed, plain = [], [], []
         for i, p in enumerate(pieces):
             (plain if self.LETTERS(p) else alone if p[0:1] != " " or p[1:2].isspace() or p[-1:].isspace() else mixed).append(i)
@@ -233,24 +235,28 @@ class PieceEncoder:
     def _forget_rare(self) -> None:
         """Drops the pieces that were met once; all, if that leaves too many."""
         old, uses, at, sizes, pool = (self.heads, self.tails), self.uses, self.at, self.sizes, self.pool
-        if (uses[1 : self.coded] > 1).sum() > self.keep // 2:
+        again = uses[1 : self.coded] > 1
+        if again.sum() > self.keep // 2 or sizes[1 : self.coded][again].sum() > 4 * self.keep or self.letters_kept > 128 * self.keep:
             uses = np.zeros_like(uses)
         self._forget()
         for known, now in zip(old, (self.heads, self.tails), strict=True):
-            stay = [(p, c) for p, c in known.items() if uses[c] > 1]
-            codes = np.array([c for _, c in stay], np.int64)
-            now.update(zip([p for p, _ in stay], range(self.coded, self.coded + len(stay)), strict=True))
-            m = self.coded + len(stay)
+            codes = np.fromiter(known.values(), np.int64, len(known))
+            stay = uses[codes] > 1
+            codes = codes[stay]
+            m = self.coded + len(codes)
+            now.update(zip(compress(known, stay.tolist()), range(self.coded, m), strict=True))
+            self.letters_kept += sum(map(len, now))
+            known.clear()
             if m > len(self.at):
-                self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(m, np.int64))) for x in (self.at, self.sizes, self.uses))
-            n = sizes[codes]
-            place = np.repeat(at[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                self.at, self.sizes, self.uses = (np.concatenate((x, np.zeros(m, np.int32))) for x in (self.at, self.sizes, self.uses))
+            n = sizes[codes].astype(np.int64)
+            place = np.repeat(at[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())  # cumsum counts in 64 bits
             self._keep(np.arange(self.coded, m), n, pool[place])
             self.coded = m
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, the end id after each, and their bounds."""
-        if self.coded > self.keep:
+        if self.coded > self.keep or self.used > 8 * self.keep or self.letters_kept > 64 * self.keep:
             self._forget_rare()
         codes: list[int] = []
         bounds = [0]
@@ -262,9 +268,9 @@ class PieceEncoder:
             bounds.append(len(codes))
         self._learn()
         code = np.array(codes, np.int64)
-        self.uses[: self.coded] += np.bincount(code, minlength=self.coded)
+        self.uses[: self.coded] += np.bincount(code, minlength=self.coded).astype(np.int32)
         sizes = self.sizes[code]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         out = self.pool[np.repeat(self.at[code] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         return out, np.concatenate(([0], ends))[bounds]
 
