@@ -86,7 +86,7 @@ def spans(found: DataFrame) -> DataFrame:
     apart = F.when(F.col("base") | F.col("template").isNull() | (F.col("diagonal") - last > SHIFT) | (F.col("low") - reach > GAP) | last.isNull(), 1).otherwise(0)
     grouped = diagonals.withColumn("apart", apart).withColumn("part", F.sum("apart").over(order))
     merged = grouped.groupBy(*by, "part").agg(F.sum("n").alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"))
-    cover = F.least(F.lit(1.0), F.col("n") / F.col("pairs"))
+    cover = F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("n") / F.col("pairs")))
     return merged.select("row", "doc_id", "n_words", "label", "base", "start", "end", cover.alias("cover"))
 
 

@@ -44,6 +44,8 @@ def test_cases_and_labels(spark):
     assert base(rows) == sorted((brute_base(d, t) for d, t in CASES), key=str)
     labels = {r.doc_id: r.labels for r in rows}
     assert labels[10] == "mit" and labels[12] == "apache-2.0" and labels[13] == "" and labels[6] == "gpl"
+    scores = {r.doc_id: r.score for r in rows}
+    assert scores[1] == scores[2] == scores[8] == 0 and scores[3] == scores[10] == 1 and 0 < scores[13] < L.COVER
     assert L.scan(df.limit(0)).collect() == []
 
 
