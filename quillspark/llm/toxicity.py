@@ -203,25 +203,35 @@ class Words(Spans):
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*found, strict=True)) or ((), (), ())))
 
 
+class Pool:
+    """Many words, valued some at a time so that the working arrays stay small."""
+
+    def __init__(self, words: list[bytes], size: int = 20_000):
+        self.parts = [Words(words[k : k + size]) for k in range(0, len(words), size)]
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        return np.concatenate([p.values(weights) for p in self.parts]) if self.parts else np.empty(0)
+
+
 def kernel(x: Words, y: Words) -> np.ndarray:
     """The kernel of every word of x with every word of y (y: landmarks)."""
-    rows, at, weight = y.features()
-    used, slot = np.unique(at, return_inverse=True)
-    place = np.zeros(FEATURES, np.int32)
-    place[used] = np.arange(1, len(used) + 1)
-    marks = np.zeros((len(used) + 1, len(y.words)), np.float32)
-    np.add.at(marks, (slot + 1, rows), weight)
-    rows, at, weight = x.features()
-    at = place[at]
-    hit = at > 0
-    rows, at, weight = rows[hit], at[hit], weight[hit].astype(np.float32)
+    rows, feature, weight = x.features()
     order = np.argsort(rows, kind="stable")
-    rows, at, weight = rows[order], at[order], weight[order]
+    rows, feature, weight = rows[order], feature[order], weight[order].astype(np.float32)
     out = np.zeros((len(x.words), len(y.words)), np.float32)
-    for low in range(0, len(rows), 1 << 14):
-        part = slice(low, low + (1 << 14))
-        heads = np.flatnonzero(np.diff(rows[part], prepend=-1))
-        out[rows[part][heads]] += np.add.reduceat(marks[at[part]] * weight[part, None], heads, axis=0)
+    for first in range(0, len(y.words), 128):  # the table of these words' features is dense
+        part = Words(y.words[first : first + 128])
+        marked, at, share = part.features()
+        used, slot = np.unique(at, return_inverse=True)
+        place = np.zeros(FEATURES, np.int32)
+        place[used] = np.arange(1, len(used) + 1)
+        marks = np.zeros((len(used) + 1, len(part.words)), np.float32)
+        np.add.at(marks, (slot + 1, marked), share)
+        hit = np.flatnonzero(place[feature])
+        for low in range(0, len(hit), 1 << 14):
+            now = hit[low : low + (1 << 14)]
+            heads = np.flatnonzero(np.diff(rows[now], prepend=-1))
+            out[rows[now][heads], first : first + 128] += np.add.reduceat(marks[place[feature[now]]] * weight[now, None], heads, axis=0)
     return out
 
 
@@ -298,16 +308,16 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
     bad = _spread(suspect[:800], landmarks // 3) or sorted(witness)[: landmarks // 3]
     plain = [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0]))[:1000]]
     every = sorted(set(down))
-    pool, place = Words(every), {w: i for i, w in enumerate(every)}
+    pool, place = Pool(every), {w: i for i, w in enumerate(every)}
     seen = np.array([down[w] for w in every], float)
     bounds = np.cumsum([0, *map(len, clean)])
     flat = np.array([place[w] for b in clean for w in b])
     bad_words = sorted({w for b in toxic for w in b})
-    bad_pool, bad_place = Words(bad_words), {w: i for i, w in enumerate(bad_words)}
+    bad_pool, bad_place = Pool(bad_words), {w: i for i, w in enumerate(bad_words)}
     bad_flat = [np.array([bad_place[w] for w in b]) for b in toxic]
     hard = set(rng.choice(len(every), min(len(every), 6000), replace=False).tolist())
     near: list[bytes] = []
-    worst, known, boost = np.zeros(len(every)), {}, defaultdict(lambda: 1.0)
+    worst, known, boost, best = np.zeros(len(every)), {}, defaultdict(lambda: 1.0), None
     for turn in range(rounds):
         if turn < settle:
             taken = set(bad)
@@ -339,14 +349,17 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
         near = [*dict.fromkeys([*(every[i] for i in np.argsort(-(worst - worst.mean()) * np.sqrt(seen))[:200]), *near])]
         value = bad_pool.values(table.astype(np.float32))
         witness = Counter(b[int(np.argmax(value[i] + np.array([0.5 * (w in trusted) for w in b])))] for b, i in zip(toxic, bad_flat, strict=True))
-        if turn >= settle and np.maximum.reduceat(worst[flat], bounds[:-1]).max() < 0.75 and min(value[i].max() for i in bad_flat) > 0.85:
+        high = np.array([max(0.0, value[i].max()) for i in bad_flat])
+        low = np.maximum(np.maximum.reduceat(worst[flat], bounds[:-1]), 0.0)
+        gap = np.quantile(high, 0.003) - np.quantile(low, 0.998)
+        if best is None or gap > best[0]:  # rounds may overshoot: the one that parts the labels best is kept
+            best = gap, table, high, low, marks.words
+        if turn >= settle and low.max() < 0.75 and high.min() > 0.85:
             break
-    value, worst = bad_pool.values(table.astype(np.float32)), pool.values(table.astype(np.float32))
-    ones = np.array([max(0.0, value[i].max()) for i in bad_flat])
-    zeros = np.maximum(np.maximum.reduceat(worst[flat], bounds[:-1]), 0.0)
+    _, table, ones, zeros, chosen = best
     slope, _ = _platt(np.concatenate((ones, zeros)), np.arange(len(ones) + len(zeros)) < len(ones))
-    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 0.995)) / 2  # where 0.5 lies
-    return Model(table, max(slope, 0.1), -max(slope, 0.1) * middle, marks.words)
+    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 0.998)) / 2  # where 0.5 lies
+    return Model(table, max(slope, 0.1), -max(slope, 0.1) * middle, chosen)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, modulus: int = MODULUS, rest: int = REST) -> Model:
