@@ -293,8 +293,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], en
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = part.column(0)
                 shard = np.where(ids.is_null().to_numpy(False), len(edges), np.searchsorted(edges, ids.fill_null(0).to_numpy(False), "right")).astype(np.int32)
                 got, bounds = coder.encode([t or "" for t in part.column(1).to_pylist()])
