@@ -41,7 +41,7 @@ def op8_licenses(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    return linededup.verdicts(table(spark, sf_dir, "documents"))
+    return linededup.verdicts(table(spark, sf_dir, "documents"), linededup.PASSAGE_WORDS)
 
 
 def op10_decontaminate(spark, sf_dir):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,56 @@ def test_bounds_resist_shifts():
 @pytest.mark.parametrize("text", ["", "a", "a\n", "\n", f"{PASSAGE}\n\n{PASSAGE}"])
 def test_chunks_make_up_the_text(text):
     assert "\n".join(c for _, _, c, _ in D.line_chunks(text)) == text
+
+
+def split_passage(rnd, n_lines, n_words):
+    words = [f"p{rnd.randrange(10**9)}" for _ in range(n_words)]
+    at = [0, *sorted(rnd.sample(range(1, n_words), n_lines - 1)), n_words]
+    return [" ".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def foreign(rnd, n):
+    return [f"f{rnd.randrange(10**9)} of its own" for _ in range(n)]
+
+
+def test_passages_of_short_lines_go_whatever_surrounds_them(spark):
+    rnd = random.Random(4)
+    docs, want = [], {}
+    for k in range(60):
+        lines = split_passage(rnd, 2 + k % 5, rnd.randrange(51, 101))
+        one, two = foreign(rnd, rnd.randrange(4)), foreign(rnd, rnd.randrange(1, 4))
+        end = foreign(rnd, rnd.randrange(3))
+        docs += [(2 * k, "\n".join([*one, *lines, *foreign(rnd, 2)])), (2 * k + 1, "\n".join([*two, *lines, *end]))]
+        want[2 * k], want[2 * k + 1] = docs[-2][1], "\n".join([*two, *end])
+    few = split_passage(rnd, 2, 50)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in D.verdicts(df, D.PASSAGE_WORDS).collect()} == want
+    assert D.passages([len(x.split()) for x in few], D.PASSAGE_WORDS) == set()
+
+
+def test_whole_block_goes_and_overlapping_copies_keep_the_first(spark):
+    rows = [(1, f"a\nb\nc\n{BLOCK}\nd"), (2, f"quite different\n{BLOCK}\nend\nof text"), (3, "\n".join(f"row {i % 2}" for i in range(200)))]
+    got = {r.doc_id: r for r in D.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string"), D.PASSAGE_WORDS).collect()}
+    assert got[2].n_removed > 30 and got[2].text == "quite different\nend\nof text" and got[2].n_removed == 40 and got[2].words_removed == 160
+    assert got[1].n_removed == 0 and got[3].text.split("\n")[:26] == [f"row {i % 2}" for i in range(26)]
+
+
+def test_registered_query_takes_passages(spark, tmp_path):
+    from quillspark.llm.registry import QUERIES
+
+    lines = split_passage(random.Random(1), 3, 60)
+    rows = [(1, "\n".join(["x", *lines])), (2, "\n".join(["quite", "other", *lines, "end"]))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: rows[0][1], 2: "quite\nother\nend"}
+
+
+def test_passages_cover_every_repeated_run():
+    rnd = random.Random(2)
+    for _ in range(300):
+        words = [rnd.choice((0, 0, 1, 5, 20, 60)) for _ in range(rnd.randrange(1, 30))]
+        whole = D.passages(words, 50)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                inside = {i for x, y in whole if a <= x and y <= b for i in range(x, y)}
+                full = {i for i in range(a, b) if words[i]}
+                assert (full <= inside) if sum(words[a:b]) > 50 else not inside
