@@ -248,6 +248,13 @@ def _spread(words: list[bytes], n: int) -> list[bytes]:
     return [words[i] for i in take]
 
 
+def _disguised(word: bytes, rng: np.random.Generator, n: int = 12) -> list[bytes]:
+    """n variants of word with a letter or digit inserted, for training on insults written so that no two texts agree."""
+    at = rng.integers(1, max(2, len(word)), n)
+    put = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), n)
+    return [word[:i] + bytes([c]) + word[i:] for i, c in zip(at.tolist(), put.tolist(), strict=True)] if len(word) > 3 else []
+
+
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-6, steps: int = 40) -> tuple[np.ndarray, float]:
     """Weighted squared hinge loss, minimised by Newton steps over the examples inside the margin."""
     x = np.concatenate((z, np.ones((len(y), 1), z.dtype)), 1)
@@ -304,10 +311,8 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
     worth = {w: o * float(np.log1p(up[w])) for w, o in odds.items()}
     suspect = [w for w in sorted(odds, key=lambda w: (-worth[w], w)) if up[w] > 2 and up[w] / len(toxic) > 3 * (down[w] + 3) / len(clean)]  # seen more than chance explains
     trusted = set(suspect)
-    # a toxic document none of whose words stands out teaches nothing that isn't chance, unless nearly all are like that
-    clear = [any(w in trusted for w in b) for b in toxic]
-    if sum(clear) >= 5:
-        toxic = [b for b, known in zip(toxic, clear, strict=True) if known]
+    sure = [w for w in suspect if up[w] > 4 and up[w] / len(toxic) > 10 * (down[w] + 1) / len(clean)]
+    forms = {v: up[w] / 24 for w in sure for v in _disguised(w, rng) if v not in down}
     witness = Counter(max(b, key=lambda w: (worth.get(w, 0.0), w)) for b in toxic)
     bad = _spread(suspect[:800], landmarks // 3) or sorted(witness)[: landmarks // 3]
     plain = [w for w, _ in sorted(down.items(), key=lambda x: (-x[1], x[0]))[:1000]]
@@ -332,7 +337,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
             root = vectors[:, keep] / np.sqrt(values[keep])
             rows, at, weight = marks.features()
             known = {}
-        counts = witness + Counter({w: up[w] for w in suspect})
+        counts = witness + Counter({w: up[w] for w in suspect}) + Counter(forms)
         ones, zeros = sorted(counts), [every[i] for i in sorted(hard)]
         new = [w for w in dict.fromkeys(ones + zeros) if w not in known]
         known |= dict(zip(new, kernel(Words(new), marks) @ root.astype(np.float32), strict=True))
@@ -344,7 +349,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
         w, bias = _svm(z, y, share)
         for word, wrong in zip(ones + zeros, y * (z @ w + bias) < 0.6, strict=True):
             if wrong:  # what stays on the wrong side counts more next time
-                boost[word] = min(4096.0, boost[word] * 2)
+                boost[word] = min(16.0 if word in forms else 4096.0, boost[word] * 2)
         table = np.zeros(FEATURES)
         np.add.at(table, at, weight * (root @ w)[rows])
         worst = pool.values(table.astype(np.float32))
@@ -362,8 +367,7 @@ def fit(bags: list[tuple[int, list[bytes]]], landmarks: int = LANDMARKS, rounds:
             break
     _, table, ones, zeros, chosen = best
     slope, _ = _platt(np.concatenate((ones, zeros)), np.arange(len(ones) + len(zeros)) < len(ones))
-    # 0.5 lies between the labels, nearer the toxic ones: the corpus has far more clean texts, and odder ones, than the sample
-    middle = 0.65 * np.quantile(ones, 0.003) + 0.35 * np.quantile(zeros, 1 - max(0.002, 3 / len(clean)))
+    middle = (np.quantile(ones, 0.003) + np.quantile(zeros, 1 - max(0.002, 3 / len(clean)))) / 2  # where 0.5 lies: between the labels, all documents of the sample
     return Model(table, max(slope, 0.1), -max(slope, 0.1) * middle, chosen)
 
 

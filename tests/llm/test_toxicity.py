@@ -91,3 +91,12 @@ def test_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r.predicted for r in X.verdicts(docs, labels).collect()] == [0]
     assert X.verdicts(docs.limit(0), labels).collect() == []
+
+
+def test_inserted_characters_stay_over_the_threshold(model):
+    rnd = random.Random(21)
+    clean = [sentence(rnd, 40) for _ in range(200)]
+    for marks in ("abcdefghijklmnopqrstuvwxyz0123456789", "*-_."):
+        disguised = [f"{c} {w[:k]}{rnd.choice(marks)}{w[k:]}" for c in clean for w in [rnd.choice(BAD)] for k in [rnd.randrange(1, len(w))]]
+        assert (model.scores(pa.array(disguised)) >= 0.5).all()
+    assert (model.scores(pa.array(clean)) < 0.5).all()
