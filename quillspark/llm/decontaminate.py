@@ -5,7 +5,8 @@ of `window` words (or a whole shorter item) is a hit; hits that touch or overlap
 themselves, so no match runs over the end of an item.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Cases: a null or empty text has no words, no hits and comes
-back as it is; a null item text has no words and no window; items with equal texts each count; rows of the input stay one
+back as it is; a null item text has no words and no window; an item with a null id makes hits and spans
+but stands in no list of items; items with equal texts each count; rows of the input stay one
 output row each, repeated or not; columns of any other name pass through; an empty benchmark hits nothing.
 
 Only words of the benchmark's own vocabulary can lead the automaton away from its root, so a vectorised look-up passes it just
@@ -135,7 +136,7 @@ class SuffixAutomaton:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, i))
-        return spans, found
+        return spans, found - {None}
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -152,7 +153,7 @@ def blocks(items: list[tuple[str, str | None]], block_words: int = BLOCK_WORDS)
         if used and used + len(words) > block_words:
             out.append([])
             used = 0
-        out[-1].append((str(name), words))
+        out[-1].append((None if name is None else str(name), words))
         used += len(words)
     return out
 
@@ -253,7 +254,7 @@ class Matcher:
 
 def matcher(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text") -> Matcher:
     """Reads the test items, a table that the size of the corpus doesn't change, and prepares their automata."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null").toLocalIterator()
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).toLocalIterator()
     return Matcher(blocks([(r.item, r.text) for r in rows], block_words), window)
 
 

@@ -81,3 +81,11 @@ def test_removal_takes_spans_and_heavy_documents(spark):
     assert got[2].cleaned is None
     assert got[3].cleaned == pad and got[4].cleaned is None and got[4].n_words == 0
     assert brute([(5, got[5].cleaned)], ITEMS[:1])[0][2] == 0
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    bench = spark.createDataFrame([(None, LONG), (3, "Short ITEM"), (None, "lone")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x {LONG} y"), (2, "a short item"), (3, "lone z z"), (4, "none")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256 == hashlib.sha256((b"3" if r.doc_id == 2 else b"")).hexdigest(), r.contaminated) for r in D.verdicts(docs, bench).collect()}
+    assert got == {1: (12, 0, True, True), 2: (2, 1, True, True), 3: (1, 0, True, True), 4: (0, 0, True, False)}
+    assert {r.doc_id: r.match.cleaned for r in D.decontaminate(docs, bench).collect()}[3] == "\n z z"
