@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by product quantisation under coarse inverted lists.
 
-Vectors of one label are linked if their cosine is `COSINE` or more. Unit vectors with that cosine lie within
+Vectors of one label and one length are linked if their cosine is `COSINE` or more. Unit vectors with that cosine lie within
 r = sqrt(2 - 2 * cosine) of each other, which makes every step of the search exact:
 
 * coarse lists: each vector belongs to its nearest centroid. q has a neighbour in list c only if the plane midway between c and
@@ -16,16 +16,20 @@ are queries. Equal vectors of a label share one entry with their number. A list'
 of about `BLOCK`, so a list of any size is many tasks; a block sends back, for each query, how many vectors it is linked with
 and edges enough to join what its links join, never the pairs.
 
-Cases: vectors that are null, of another length than most of the sample, zero, or hold null or non-finite components link with
+Each length of vectors has an index of its own, fitted on its own sample, one after the other.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, nor do rows with a null label; rows with a null vec_id count as links of others, their own n_links is 0, component_id
 null and kept true; equal vec_ids are one vector with several rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, cut, few
@@ -136,22 +140,8 @@ def _matrix(column, dim: int | None = None) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, dim or 1)
 
 
-def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """One row for each row: vec_id, n_links (other vectors linked), component_id (smallest vec_id reachable), kept."""
-    spark = table.sparkSession
-    bound_batches(spark)
-    rows = cut(table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")), "vectors-rows")
-    sound = rows.where("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    lengths = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    none = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return none
-    dim = lengths[0].n
-    # entries: distinct vectors of a label; the name of an entry is its smallest vec_id, or a hash where all are null
-    entry = sound.where(F.size("v") == dim).groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    entry = entry.withColumn("name", F.monotonically_increasing_id())
-    entries = cut(entry, "vectors-entries")
-    size = entries.count()
+def _found(spark: SparkSession, entries: DataFrame, size: int, cosine: float, lists: int, sample: int, block: int) -> DataFrame:
+    """(a, b, links) of the entries, `size` vectors of one length: links of entry a where b is null, else an edge."""
     chosen = entries.where(F.pmod(F.xxhash64("label", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / size))).select("v").toArrow().column("v")
     if not len(chosen):
         chosen = entries.orderBy("name").limit(1).select("v").toArrow().column("v")
@@ -212,10 +202,27 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, s
         b = pa.array([*[None] * len(out_name), *map(int, out_b)], pa.int64())
         return pa.table({"a": a, "b": b, "links": pa.array(np.concatenate((out_links, np.zeros(len(out_a)))).astype(np.int64))})
 
-    found = cut(held.unionByName(asked).groupBy("label", "cell", "block", "part").applyInArrow(compare, "a bigint, b bigint, links bigint"), "vectors-found")
+    return cut(held.unionByName(asked).groupBy("label", "cell", "block", "part").applyInArrow(compare, "a bigint, b bigint, links bigint"), "vectors-found")
+
+
+def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """One row for each row: vec_id, n_links (other vectors linked), component_id (smallest vec_id reachable), kept."""
+    spark = table.sparkSession
+    bound_batches(spark)
+    rows = cut(table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")), "vectors-rows")
+    sound = rows.where("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    # entries: distinct vectors of a label; the name of an entry is its smallest vec_id, or a hash where all are null
+    entry = sound.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    entry = entry.withColumn("name", F.monotonically_increasing_id())
+    entries = cut(entry, "vectors-entries")
+    lengths = entries.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()
+    none = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not lengths:
+        return none
+    found = reduce(DataFrame.unionByName, [_found(spark, entries.where(F.size("v") == r.n), r["count"], cosine, lists, sample, block) for r in lengths])
     links = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
     # components: of entries by name, then each by its smallest vec_id; rows of one vec_id tie their entries together
-    keyed = sound.where(F.size("v") == dim).join(entries.select("label", "v", "name", "n"), ["label", "v"]).select("vec_id", "name", "n")
+    keyed = sound.join(entries.select("label", "v", "name", "n"), ["label", "v"]).select("vec_id", "name", "n")
     mine = cut(keyed, "vectors-keyed")
     ties = found.where("b is not null").select("a", "b")
     same = mine.where("vec_id is not null").groupBy("vec_id").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high")

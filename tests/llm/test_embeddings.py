@@ -86,3 +86,10 @@ def test_spanning_forest_joins_what_links_join():
 
         edges = E.spanning(i, j, n, m)
         assert parts(edges) == parts(zip(i.tolist(), j.tolist(), strict=True)) and len(edges) <= n + m
+
+
+def test_every_length_is_searched(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [4.0, -3.0, 2.0, -1.0, 5.0, 6.0]
+    rows = [(1, v, 1), (2, [2 * x for x in v], 1), (3, v, 1), (4, w, 1), (5, [3 * x for x in w], 1), (6, w, 2), (7, [1.0], 1), (8, [2.0], 1), (9, [-1.0], 1), (10, v, 3), (10, w, 3), (11, w, 3)]
+    out = sorted({r[:3] for r in got(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))})
+    assert out == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7), (8, 1, 7), (9, 0, 9), (10, 1, 10), (11, 1, 10)]
