@@ -3,10 +3,12 @@
 The kernel compares two words, with a mark before and after each, by the ordered triples and quadruples of characters they
 share, gaps allowed: each counts `DECAY` for each place skipped, up to two, so "idxiot", "i-d-i-o-t" and "i d i o t" stay near "idiot" (runs of single
 letters and parts with one mark between are also read as one word). Words are divided by a function of their length, which
-keeps the kernel positive definite. A sentence is as toxic as its worst word, a document as its worst sentence.
+keeps the kernel positive definite. A text is as toxic as its worst word; nothing splits sentences, so insults made of several
+ordinary words don't score.
 
-Training is on sentences: each labelled document is a bag of them; in a toxic one the worst sentence stands for the bag and
-is chosen anew in each round, in a clean one every sentence is clean and the worst come back as hard examples. Landmarks are
+Training is on distinct words of 3 to 200 bytes: each labelled document is a bag of them; in a toxic one the worst word stands for
+the bag and is chosen anew in each round, in a clean one every word is clean and the worst come back as hard examples. Words that
+mark toxic documents also teach by variants with a character inserted. Landmarks are
 words, toxic-looking ones, common ones and those clean ones that were last taken for toxic, far apart in the kernel. A linear
 machine with squared hinge loss is fitted to the Nystroem features. As both the features and the kernel are linear in the subsequences, the machine folds
 into one weight for each (2**19 of them, 2 MB, whatever the corpus; quadruples are hashed): scoring looks up every one of
