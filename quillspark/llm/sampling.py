@@ -20,18 +20,29 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 
 def per_class(rows: DataFrame, label: str, most: int, seed: int) -> DataFrame:
     """About `most` rows of each label (all of them where there are fewer): each row is in if its hash is below its label's share."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row a label
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), int(SCALE * min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(SCALE)) < share)
+    share = rows.groupBy(F.col(label).alias("__label")).agg((SCALE * F.least(F.lit(1.0), most / F.count("*"))).cast("bigint").alias("__share"))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(SCALE))
+    return rows.join(share, F.col(label) == F.col("__label")).where(drawn < F.col("__share")).drop("__label", "__share")
+
+
+def _learnt(labels: DataFrame, label: str, modulus: int, rest: int) -> DataFrame:
+    """(doc_id, label) of rows that may teach; a document with several labels counts with the largest."""
+    learn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
+    return learn.groupBy("doc_id").agg((F.max(label).cast("int") == 1).cast("int").alias("label"))
+
+
+def shares(labels: DataFrame, label: str, modulus: int, rest: int) -> dict[int, float]:
+    """The share of labels 1 and of others among documents that may teach."""
+    counts = {r.label: r["count"] for r in _learnt(labels, label, modulus, rest).groupBy("label").count().collect()}  # two rows at most
+    return {k: n / sum(counts.values()) for k, n in counts.items()}
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, most: int, seed: int) -> DataFrame:
-    """(label, text) of a sample of at most about `most` documents of each label, none of them held out.
+    """(label, text) of a sample of at most about `most` documents of each kind (label 1 or not), none of them held out.
 
-    A document with several labels counts with the largest. The sample's ids, bounded by `most`, are broadcast.
+    Of rows of documents that share a doc_id the least text counts, so the sample has at most one row for each id. The sample's
+    ids, bounded by `most`, are broadcast.
     """
-    learn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
-    chosen = per_class(learn.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), "label", most, seed)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    chosen = per_class(_learnt(labels, label, modulus, rest), "label", most, seed)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
