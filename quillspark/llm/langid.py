@@ -79,11 +79,10 @@ class Model:
                 number[row:end] += row_sums(valid, first)
                 for k in range(len(self.langs)):
                     total[row:end, k] += row_sums(self.table[k][buckets] * valid, first)
-        total = total / np.sqrt(np.maximum(number, 1))[:, None] + self.prior
-        total -= total.max(axis=1, keepdims=True)
-        p = np.exp(total)
+        total += self.prior
+        best = total.argmax(axis=1)
+        p = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(number, 1))[:, None])
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
         known = has_letter(texts)
         return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(n), best], 0.0)
 
