@@ -14,7 +14,9 @@ MINOR_TYPO, BEGINNER_PASS, SEMANTIC_PASS = 95, 85, 70
 PROMOTE_AFTER = {1: 1, 2: 2, 3: 2, 4: 3}
 BOX_WEIGHTS = {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}
 UNSEEN_WEIGHT = 3
+#: Seconds that a wrong answer waits, and the types that the cheaper model writes.
 WRONG_ANSWER_COUNTDOWN = 15
+STRUCTURED_TYPES = ["multiple-choice", "true-false"]
 
 
 def _case(key: Column, table: dict, default) -> Column:
@@ -70,8 +72,24 @@ def model_provider(model: Column) -> Column:
     return F.when(model.startswith("mistral-"), "mistral").otherwise("anthropic")
 
 
-def pacific_time(ts: Column, pattern: str = "MM/dd/yyyy, hh:mm a") -> Column:
-    """F27."""
+def model_by_type(kind: Column, structured: str, typed: str) -> Column:
+    """the model that writes questions of a type."""
+    return F.when(kind.isin(*STRUCTURED_TYPES), structured).otherwise(typed)
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """a share as text with one digit, such as 12.5%."""
+    return F.concat(F.format_string("%.1f", percent(part, whole, 1)), F.lit("%"))
+
+
+def signed_points(a: Column, b: Column) -> Column:
+    """a difference in percentage points as text with its sign, such as +1.5pp."""
+    diff = points(a, b)
+    return F.concat(F.when(diff >= 0, "+").otherwise(""), F.format_string("%.1f", diff), F.lit("pp"))
+
+
+def pacific_time(ts: Column, pattern: str = "MMM d, yyyy, h:mm a") -> Column:
+    """such as Jan 1, 2024, 4:00 AM."""
     return F.date_format(F.from_utc_timestamp(ts, "America/Los_Angeles"), pattern)
 
 

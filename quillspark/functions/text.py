@@ -88,6 +88,11 @@ def infer_writing_type(prompt: Column) -> Column:
     return out
 
 
+def first_letter(word: Column) -> Column:
+    """F34."""
+    return F.lower(F.left(word, F.lit(1)))
+
+
 def blank_count(question: Column) -> Column:
     """runs of three underscores or more."""
     return F.regexp_count(question, F.lit("_{3,}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Hosts whose pages are videos.
 VIDEO_HOSTS = ["youtube.com", "youtu.be", "vimeo.com", "dailymotion.com"]
+#: Links, bare URLs, what may trail them, and headings.
 _MARKDOWN = r"\[([^\]]+)\]\((https?://[^\s)]+)\)"
 _BARE = r"https?://[^\s)\]>,\"']+"
 _TAIL = r"[.,;:!?)]+$"

@@ -33,6 +33,11 @@ def is_error() -> Column:
     return F.coalesce(F.col("notes").startswith("PARSE_ERROR:") | F.col("notes").startswith("API_ERROR:"), F.lit(False))
 
 
+def suggested_levels(results: DataFrame) -> DataFrame:
+    """How often each level is suggested for questions whose level doesn't fit; unspecified where none is named."""
+    return results.where(~F.col("difficulty_appropriate")).groupBy(F.coalesce("suggested_difficulty", F.lit("unspecified")).alias("suggested")).agg(F.count("*").alias("n"))
+
+
 def parse_responses(batches: DataFrame) -> DataFrame:
     """S18 over (batch, ids: array, response): one result a question id.
 

@@ -33,7 +33,7 @@ def overlap_share(rows: DataFrame, group: str = "cohort", key: str = "content_ha
     """Shared hashes as a percentage of the smaller group's rows."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     a, b = sizes.select(F.col(group).alias("group_a"), F.col("n").alias("n_a")), sizes.select(F.col(group).alias("group_b"), F.col("n").alias("n_b"))
-    out = pairwise_overlap(rows, group, key).join(F.broadcast(a), "group_a").join(F.broadcast(b), "group_b")
+    out = pairwise_overlap(rows, group, key).join(a, "group_a").join(b, "group_b")
     return out.withColumn("pct_of_smaller", F.round(F.try_divide(100.0 * F.col("shared"), F.least("n_a", "n_b")), 1))
 
 

@@ -29,6 +29,14 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], version: str
     return target.join(changes.select(*keys), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def upsert_unit(units: DataFrame, changes: DataFrame) -> DataFrame:
+    """Units by id; a new unit's sort_order is the number of units there, counted on for each further one."""
+    known = units.join(changes.select("id", F.col("title").alias("__title")), "id", "left").withColumn("title", F.coalesce("__title", "title")).drop("__title")
+    fresh = changes.join(units.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    placed = fresh.withColumn("__n", F.row_number().over(Window.orderBy("id")) - 1).crossJoin(F.broadcast(units.agg(F.count("*").alias("__have"))))
+    return known.unionByName(placed.withColumn("sort_order", (F.col("__have") + F.col("__n")).cast(units.schema["sort_order"].dataType)).select(*units.columns))
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Only rows whose keys are not there yet, each once."""
     first = Window.partitionBy(*keys).orderBy(*keys)
@@ -37,7 +45,12 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def patch(target: DataFrame, changes: DataFrame, key: str, columns: list[str], touched: Column | None = None) -> DataFrame:
-    """Columns of rows that changes name are overwritten, with nulls too; `touched` sets updated_at."""
+    """Columns of rows that changes name are overwritten, with nulls too.
+
+    Where the table has updated_at, these rows get `touched` there, by default the time of the query.
+    """
+    if touched is None and "updated_at" in target.columns:
+        touched = F.current_timestamp().cast(target.schema["updated_at"].dataType)
     c = changes.select(key, F.lit(True).alias("__set"), *(F.col(x).alias(f"__{x}") for x in columns))
     out = target.join(c, key, "left")
     out = out.withColumns({x: F.when(F.col("__set"), F.col(f"__{x}")).otherwise(F.col(x)) for x in columns})

@@ -49,7 +49,7 @@ def conclusions(metrics: DataFrame, metric: str) -> DataFrame:
     sign = -1 if measure == LOWER_IS_BETTER else 1
     control = metrics.where("cohort = 'control'").select(F.col(measure).alias("control_value"))
     treat = metrics.where("cohort <> 'control'").select("cohort", F.col(measure).alias("value"))
-    best = treat.agg(F.max(F.col("value") * sign).alias("best_value"), F.max_by("cohort", F.struct(F.col("value") * sign, F.negative(F.ascii("cohort")))).alias("best_cohort"))
+    best = treat.agg(F.max(F.col("value") * sign).alias("best_value"), F.min_by("cohort", F.struct(F.col("value") * -sign, "cohort")).alias("best_cohort"))
     rows = treat.crossJoin(F.broadcast(control)).crossJoin(F.broadcast(best))
     direction = F.when(F.col("value") > F.col("control_value"), "increase").when(F.col("value") < F.col("control_value"), "decrease").otherwise("no change")
     verdict = F.when(F.col("best_value") > F.col("control_value") * sign, "supported").otherwise("refuted")

@@ -1,23 +1,60 @@
-"""Spaced-repetition state and the sliding-window limiter, as folds over ordered events."""
+"""Spaced-repetition state and the sliding-window limiter, as folds over ordered events.
+
+A key's events are sorted in one partition and read in Arrow batches; the fold carries its state from batch to batch, so a key
+of any number of events takes the memory of one batch.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import box_weight, next_box
+from ..functions.scoring import PROMOTE_AFTER, box_weight
+
+
+def _in_order(events: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    at = F.unix_micros(F.col("attempted_at").cast("timestamp")).alias("__at")
+    return events.select(*keys, at, "event_id", *more).repartition(*keys).sortWithinPartitions(*keys, "__at", "event_id")
 
 
 def leitner_state(events: DataFrame, keys: tuple[str, ...] = ("study_code_id", "question_id")) -> DataFrame:
-    """Box, streak and last review of each student and question after all their answers, in order of time and event id.
+    """Box, streak and last review of each student and question after all their answers, in order of time and event id."""
+    width = len(keys)
+    kinds = [events.schema[k].dataType.simpleString() for k in keys]
+    out = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "box int, consecutive_correct int, __at bigint"])
 
-    One shuffle by key; each key's events are folded in the JVM.
-    """
-    listed = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("attempted_at", "event_id", "is_correct"))).alias("events"))
-    start = F.struct(F.lit(1).cast("int").alias("box"), F.lit(0).cast("int").alias("streak"))
-    state = F.aggregate("events", start, lambda s, e: next_box(s["box"], s["streak"], e["is_correct"]))
-    folded = listed.select(*keys, state.alias("state"), F.element_at("events", -1)["attempted_at"].alias("last_reviewed"))
-    return folded.select(*keys, "state.box", F.col("state.streak").alias("consecutive_correct"), "last_reviewed")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, box, streak, last = None, 1, 0, None
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *name, at, _, correct in zip(*columns, strict=True):
+                if name != key:
+                    if key is not None:
+                        rows.append((*key, box, streak, last))
+                    key, box, streak = name, 1, 0
+                if not correct:
+                    box, streak = 1, 0
+                elif streak + 1 >= PROMOTE_AFTER.get(box, 1 << 30):
+                    box, streak = box + 1, 0
+                else:
+                    streak += 1
+                last = at
+            yield made(rows, batch)
+        if key is not None:
+            yield made([(*key, box, streak, last)], batch)
+
+    def made(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        types = [*(like.schema.field(i).type for i in range(width)), pa.int32(), pa.int32(), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else ([] for _ in types)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[*keys, "box", "consecutive_correct", "__at"])
+
+    state = _in_order(events, keys, "is_correct").mapInArrow(fold, out)
+    return state.select(*keys, "box", "consecutive_correct", F.timestamp_micros("__at").cast(events.schema["attempted_at"].dataType).alias("last_reviewed"))
 
 
 def question_weights(questions: DataFrame, state: DataFrame, student) -> DataFrame:
@@ -27,22 +64,27 @@ def question_weights(questions: DataFrame, state: DataFrame, student) -> DataFra
 
 
 def rate_limit(events: DataFrame, key: str, window_seconds: int, most: int) -> DataFrame:
-    """Each event with `allowed`, how many more are, and when the window opens again.
+    """Each event with `allowed`, how many more are, and, in microseconds, when the window opens again.
 
-    An event is allowed while fewer than `most` allowed ones lie less than the window before it; refused ones use up nothing,
-    so this is a fold that carries the allowed times, not a range window.
+    An event is allowed while fewer than `most` allowed ones lie less than the window before it; refused ones use up nothing.
+    After an allowed event reset_at is a window later than it; after a refused one, a window later than the oldest that is held.
     """
-    listed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("attempted_at").cast("timestamp")).alias("at"), "event_id"))).alias("events"))
-    span = F.lit(window_seconds * 1_000_000).cast("bigint")
-    out_type = "array<struct<event_id:bigint,allowed:boolean,remaining:int,reset_at:bigint>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast(out_type).alias("out"))
-
-    def step(state, e):
-        recent = F.filter(state["held"], lambda t: e["at"] - t < span)
-        free = F.size(recent) < most
-        held = F.when(free, F.concat(recent, F.array(e["at"]))).otherwise(recent)
-        verdict = F.struct(e["event_id"].alias("event_id"), free.alias("allowed"), F.greatest(F.lit(most) - F.size(held), F.lit(0)).alias("remaining"), (F.coalesce(F.try_element_at(recent, F.lit(1)), e["at"]) + span).alias("reset_at"))
-        return F.struct(held.alias("held"), F.concat(state["out"], F.array(verdict)).alias("out"))
-
-    folded = listed.select(key, F.aggregate("events", start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("e")).select(key, "e.event_id", "e.allowed", "e.remaining", "e.reset_at")
+    span = window_seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, deque()
+        for batch in batches:
+            allowed, remaining, reset = [], [], []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != name:
+                    name, held = k, deque()
+                while held and at - held[0] >= span:
+                    held.popleft()
+                allowed.append(len(held) < most)
+                if allowed[-1]:
+                    held.append(at)
+                remaining.append(most - len(held))
+                reset.append((at if allowed[-1] else held[0] if held else at) + span)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int32()), pa.array(reset, pa.int64())], names=[key, "event_id", "allowed", "remaining", "reset_at"])
+
+    return _in_order(events, (key,)).mapInArrow(fold, f"`{key}` {events.schema[key].dataType.simpleString()}, event_id bigint, allowed boolean, remaining int, reset_at bigint")

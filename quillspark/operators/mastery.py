@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import percent
+from .selection import ranked
 
 WEAK_BELOW, STRONG_FROM, STRONG_ATTEMPTS = 70, 85, 5
 
@@ -102,5 +103,5 @@ def search_students(students: DataFrame, query: str) -> DataFrame:
 def student_ranking(progress_rows: DataFrame, active: DataFrame, by: str = "overall_accuracy") -> DataFrame:
     """Rank by `by`, then by last activity, then by id."""
     joined = progress_rows.join(active, "study_code_id", "left")
-    order = Window.orderBy(F.desc(by), F.desc_nulls_last("last_active_at"), "study_code_id")
-    return joined.withColumn("rank", F.row_number().over(order))
+    keyed = joined.withColumn("__by", -F.col(by).cast("double"))
+    return ranked(keyed, "__by", [F.col("__by"), F.desc_nulls_last("last_active_at"), F.col("study_code_id")], "rank").drop("__by")

@@ -25,9 +25,25 @@ def uniform_sample(df: DataFrame, n: int, seed: str, key: str = "id") -> DataFra
     return df.orderBy(seeded_key(F.col(key), seed), key).limit(n)
 
 
+def ranked(df: DataFrame, first: str, order: list[Column], name: str, slices: int = 64) -> DataFrame:
+    """df with its rows' place in an order whose first key is the numeric column `first`, ascending.
+
+    The key's quantiles, `slices` numbers, cut the order in slices that are ranked apart; a slice's rows start after those of all
+    slices before it. So no task has all rows, unless they all share one key.
+    """
+    bounds = df.agg(F.percentile_approx(first, [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(first))) if bounds else F.lit(0)
+    dealt = df.withColumn("__part", F.when(F.col(first).isNull(), -1).otherwise(part))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return own.join(F.broadcast(before), "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("int")).drop("__part", "__own", "__before")
+
+
 def weighted_shuffle(df: DataFrame, seed: str, key: str = "id", weight: str = "weight") -> DataFrame:
     """Position of each row in a weighted draw without replacement."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(weighted_order(F.col(key), F.col(weight), seed), key)))
+    keyed = df.withColumn("__order", weighted_order(F.col(key), F.col(weight), seed))
+    return ranked(keyed, "__order", [F.col("__order"), F.col(key)], "position").drop("__order")
 
 
 def quotas(shares: dict[str, float], n: int) -> dict[str, int]:
@@ -83,7 +99,7 @@ def legacy_split(questions: DataFrame, n: int, seed: str) -> DataFrame:
     return typed.unionByName(others)
 
 
-def criteria_filter(questions: DataFrame, unit: str | None = None, topic: str | None = None, difficulty: str | None = None, types: list[str] | None = None) -> DataFrame:
+def criteria_filter(questions: DataFrame, unit: str | None = None, topic: str | None = None, difficulty: str | None = None, types: list[str] | None = None, model: str | None = None, batch: str | None = None, status: str | None = None) -> DataFrame:
     """`all` is a wildcard on either side for units; topics compare without case."""
     out = questions
     if types:
@@ -94,6 +110,9 @@ def criteria_filter(questions: DataFrame, unit: str | None = None, topic: str |
         out = out.where(F.lower("topic") == topic.lower())
     if difficulty:
         out = out.where(F.col("difficulty") == difficulty)
+    for column, value in (("generated_by", model), ("batch_id", batch), ("quality_status", status)):
+        if value:
+            out = out.where(F.col(column) == value)
     return out
 
 

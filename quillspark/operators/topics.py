@@ -18,18 +18,12 @@ def alike(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a) | (F.size(shared) >= 2)
 
 
-def _pieces(key: Column, longest: int) -> Column:
-    """All runs of whole characters that another topic of at most `longest` could be; here the words and word runs."""
-    words = F.split(key, " ")
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
-
-
 def candidate_pairs(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
-    """(left, right) topics that are alike. The right side is a curated list, broadcast after its size has been checked.
+    """(left, right) topics that are alike.
 
-    Containment may cut words anywhere, so no equality carries it; up to `BROADCAST` names a nested loop against the broadcast
-    list is the plan. A longer list is handled by its shared words and by containment of whole word runs, both equi-joins, and
-    containment inside words by a range of the list at a time.
+    The right side is a curated list whose size is counted first. Containment may cut words anywhere, so no equality carries it: the
+    plan is a nested loop against the broadcast list, a longer list in slices of about `BROADCAST` names, one loop each. Work grows
+    with left times right; the left side may be of any size, the right one is meant for some ten thousand names.
     """
     a = left.select(F.col("topic").alias("left"), normalize_topic(F.col("topic")).alias("l"))
     b = right.select(F.col("topic").alias("right"), normalize_topic(F.col("topic")).alias("r"))
@@ -72,11 +66,17 @@ def final_topics(reconciled: DataFrame) -> DataFrame:
 
 
 def heading_mappings(extracted: DataFrame, finals: DataFrame) -> DataFrame:
-    """R11 over (topic, heading_source): keywords of the headings of each final topic."""
-    holds = (F.lower("final") == F.lower("topic")) | F.contains(F.lower("topic"), F.lower("final")) | F.contains(F.lower("final"), F.lower("topic"))
-    met = extracted.join(F.broadcast(finals.select(F.col("topic").alias("final"))), holds, "left").groupBy("topic", "heading_source").agg(F.coalesce(F.min("final"), F.first("topic")).alias("final"))
-    words = met.select("final", F.explode(heading_keywords(F.col("heading_source"))).alias("keyword")).distinct()
-    return words.groupBy("final").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+    """R11 over (topic, heading_source) and, if there, position: keywords of the headings of each final topic, in order of first sight.
+
+    A topic maps to the first final one, by name, that equals it but for case, holds it or is held by it; else to itself.
+    """
+    holds = F.contains(F.lower("topic"), F.lower("final")) | F.contains(F.lower("final"), F.lower("topic"))
+    at = F.col("position") if "position" in extracted.columns else F.lit(0)
+    rows = extracted.select("topic", "heading_source", at.cast("bigint").alias("__at"))
+    met = rows.join(finals.select(F.col("topic").alias("final")), holds, "left").groupBy("__at", "topic", "heading_source").agg(F.coalesce(F.min("final"), F.first("topic")).alias("final"))
+    words = met.select("final", "__at", "topic", F.posexplode(heading_keywords(F.col("heading_source"))).alias("__n", "keyword"))
+    seen = words.groupBy("final", "keyword").agg(F.min(F.struct("__at", "topic", "__n")).alias("__seen"))
+    return seen.groupBy("final").agg(F.transform(F.array_sort(F.collect_list(F.struct("__seen", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
 
 
 def consolidation_summary(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import LEVELS
-from ..functions.text import answer_groups, blank_count, infer_writing_type, trim_ws
+from ..functions.text import answer_groups, blank_count, infer_writing_type
 
 #: Patterns of questions about learning itself, tested when questions are served.
 SERVING_META = [
@@ -155,7 +155,3 @@ def post_process(questions: DataFrame, verdicts: DataFrame | None, count: int, *
     good = checked.where("reject_reason is null").withColumn("__n", F.row_number().over(Window.orderBy("position"))).where(F.col("__n") <= count).drop("__n", "reject_reason")
     counts = judged.where("outcome is not null").groupBy("outcome").count().unionByName(checked.where("reject_reason is not null").groupBy(F.lit("validation_reject").alias("outcome")).count())
     return good, counts
-
-
-def trimmed(text: Column) -> Column:
-    return trim_ws(text)

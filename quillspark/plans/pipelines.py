@@ -52,7 +52,7 @@ def assemble_quiz(questions: DataFrame, n: int, seed: str, **options) -> dict[st
 
 def save_quiz(questions: DataFrame, user_answers: DataFrame, evaluations: DataFrame, quiz: DataFrame) -> dict[str, DataFrame]:
     """R02 over one quiz (quiz_history_id, study_code_id): its results, its score, and the questions that were wrong."""
-    results = evaluate.saved_results(questions, user_answers, evaluations).crossJoin(F.broadcast(quiz.limit(1)))
+    results = evaluate.saved_results(questions, user_answers, evaluations).crossJoin(quiz.limit(1))
     return {"results": results, "score": mastery.quiz_score(results), "incorrect": evaluate.incorrect_questions(results)}
 
 
@@ -84,6 +84,8 @@ def audit_summary(questions: DataFrame, results: DataFrame) -> dict[str, DataFra
         "by_generator": audit.pass_rate_by(leveled, F.coalesce("generated_by", F.lit("unknown")), audit.GATE, "generator"),
         "severity": audit.severity_distribution(sound),
         "reclassification": audit.reclassification(questions, sound),
+        "suggested": audit.suggested_levels(sound),
+        "variations": audit.variation_totals(sound) if "missing_variations" in results.columns else audit.variation_totals(sound.withColumns({c: F.array().cast("array<string>") for c in ("missing_variations", "invalid_variations")})),
         "served": audit.served_difficulty(questions, results),
         "questions": audit.apply_audit(questions, results),
     }

@@ -287,11 +287,6 @@ def f31_weights(spark, sf):
     return leitner.question_weights(questions, leitner.leitner_state(events), 7)
 
 
-@query(None)
-def t02_rate_limit(spark, sf):
-    return leitner.rate_limit(frame(spark, sf, "attempt_events"), "study_code_id", 6 * 3600, 3)
-
-
 _U = "(('0x' || substr(md5({0} || '|{1}'), 1, 8))::BIGINT + 0.5) / 4294967296.0"
 
 
@@ -505,15 +500,16 @@ def j08_topic_pairs(spark, sf):
     return topics.candidate_pairs(names, names, same=True)
 
 
-@query(f"SELECT id, url, topic FROM fx_learning_resources WHERE quality_status = 'active' AND topic IN (SELECT topic FROM ({MASTERY}) WHERE mastery_percentage < 70 AND study_code_id = 7)")
+@query(f"SELECT m.study_code_id, r.id, r.url, r.topic FROM ({MASTERY}) m JOIN fx_learning_resources r ON r.topic = m.topic AND r.quality_status = 'active' WHERE m.mastery_percentage < 70")
 def j09_weak_topic_resources(spark, sf):
-    weak = mastery.weak_topics(frame(spark, sf, "question_results").where("study_code_id = 7"))
-    return resources.for_topics(frame(spark, sf, "learning_resources"), weak).select("id", "url", "topic")
+    weak = mastery.weak_topics(frame(spark, sf, "question_results")).select("study_code_id", "topic")
+    return resources.for_topics(frame(spark, sf, "learning_resources"), weak).join(weak, "topic").select("study_code_id", "id", "url", "topic")
 
 
-@query("SELECT id, topic, unit_id FROM fx_learning_resources WHERE quality_status = 'active' AND topic IN (SELECT topic FROM fx_questions WHERE id % 200 = 5) AND unit_id IN (SELECT unit_id FROM fx_questions WHERE id % 200 = 5)")
+@query("WITH w AS (SELECT q.topic, q.unit_id FROM fx_questions q JOIN fx_question_results r ON q.id = r.question_id WHERE NOT r.is_correct) SELECT id, topic, unit_id FROM fx_learning_resources WHERE quality_status = 'active' AND topic IN (SELECT topic FROM w) AND unit_id IN (SELECT unit_id FROM w)")
 def j10_in_by_in(spark, sf):
-    items = frame(spark, sf, "questions").where("id % 200 = 5").select("topic", "unit_id")
+    wrong = frame(spark, sf, "question_results").where("not is_correct").select(F.col("question_id").alias("id")).distinct()
+    items = frame(spark, sf, "questions").join(wrong, "id").select("topic", "unit_id")
     return resources.for_topics_and_units(frame(spark, sf, "learning_resources"), items).select("id", "topic", "unit_id")
 
 
@@ -522,11 +518,15 @@ def j13_alliteration(spark, sf):
     return resources.alliteration(frame(spark, sf, "source_words"), "pair")
 
 
-@query("SELECT id, url, 'General' AS topic FROM fx_learning_resources WHERE url NOT IN (SELECT url FROM fx_learning_resources WHERE quality_status = 'active')")
+_MATERIAL = "'# Top' || chr(10) || 'https://left.org/' || s_suppkey || chr(10) || '## Nouns' || chr(10) || repeat('line' || chr(10), CAST(s_suppkey % 20 AS INT)) || 'https://noun.org/' || s_suppkey"
+
+
+@query("SELECT 's' || s_suppkey AS unit_id, 'https://left.org/' || s_suppkey AS url FROM supplier UNION ALL SELECT 's' || s_suppkey, 'https://noun.org/' || s_suppkey FROM supplier WHERE s_suppkey % 20 + 2 <= 10")
 def j16_leftover(spark, sf):
-    rows = frame(spark, sf, "learning_resources")
-    taken = rows.where("quality_status = 'active'").select("url").distinct()
-    return rows.join(taken, "url", "left_anti").select("id", "url", F.lit("General").alias("topic"))
+    units = spark.sql(f"SELECT 's' || s_suppkey AS unit_id, {_MATERIAL} AS text FROM {{s}}", s=spark.read.parquet(f"{sf}/supplier.parquet"))
+    wanted = units.select("unit_id", F.lit("Nouns").alias("topic"), F.lit(None).cast("array<string>").alias("aliases"))
+    found = resources.extract_resources(units, wanted, units.select(F.col("unit_id").alias("id"), F.lit("A unit").alias("title")))
+    return found.where("topic = 'General'").select("unit_id", "url")
 
 
 @query("SELECT topic, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY id)::INTEGER AS rank FROM fx_learning_resources WHERE quality_status = 'active') WHERE rank <= 3")
@@ -583,3 +583,6 @@ def f23_unit_label(spark, sf):
 def flagship(spark, sf):
     """Weakest topics over all students and what to study for them."""
     return a28_study_guide(spark, sf)
+
+
+from . import coverage  # noqa: E402, F401 - registers its queries in the same tables

@@ -47,7 +47,7 @@ def leitner_updates(events: DataFrame) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, key: str, window_seconds: int, most: int, idle_ms: int | None = 300_000) -> DataFrame:
-    """Each event with `allowed`; the allowed times of a key are its state, evicted after `idle_ms` without events (None: never)."""
+    """Each event with `allowed`, `remaining` and `reset_at`; the allowed times of a key are its state, evicted after `idle_ms` without events (None: never)."""
     span = window_seconds * 1_000_000
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
@@ -56,18 +56,21 @@ def rate_limited(events: DataFrame, key: str, window_seconds: int, most: int, id
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        rows, allowed = _ordered(frames), []
+        rows, allowed, remaining, reset = _ordered(frames), [], [], []
         for at in rows["attempted_at"].astype("datetime64[us]").astype("int64"):
             held = [t for t in held if at - t < span]
             allowed.append(len(held) < most)
             if allowed[-1]:
                 held.append(int(at))
+            remaining.append(most - len(held))
+            reset.append(int(at if allowed[-1] else held[0]) + span)
         state.update((held,))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({key: [name[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
+        yield pd.DataFrame({key: [name[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "allowed": allowed, "remaining": remaining, "reset_at": reset})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, event_id bigint, allowed boolean", "held array<bigint>", "append", timeout)
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id bigint, allowed boolean, remaining int, reset_at bigint", "held array<bigint>", "append", timeout)
 
 
 def live_streaks(events: DataFrame) -> DataFrame:

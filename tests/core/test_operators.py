@@ -244,15 +244,17 @@ def test_sets_and_hashes(spark):
 def test_sources(spark, tmp_path):
     pages = "\f".join(["a" * 40, " ", "b" * 50, "c" * 120, "d"])
     got = one(spark, readers.chunk_pages(F.col("t"), 100), t=pages)
-    assert got == ["a" * 40 + "\n" + "b" * 50, "c" * 120, "d"]
+    assert got == ["a" * 40 + "\n\n" + "b" * 50, "c" * 120, "d"]
+    assert one(spark, readers.chunk_pages(F.col("t"), 100), t=" \f ") == [" \f "]
     (tmp_path / "Unit 2.md").write_text("# two")
     (tmp_path / "Unit 20.md").write_text("# twenty")
     files = readers.markdown(spark, str(tmp_path))
     assert [r.file.replace("%20", " ") for r in readers.find_unit_file(files.withColumn("file", F.replace("file", F.lit("%20"), F.lit(" "))), resources.unit_pattern("2")).collect()] == ["Unit 2.md"]
     students = spark.createDataFrame([("c1", None, 'say "hi"', 1, 3, 2, dt.datetime(2024, 1, 1, 12), None)], "code string, display_name string, admin_label string, total_quizzes int, total_questions int, correct_answers int, created_at timestamp, last_active_at timestamp")
     lines = [r.value for r in readers.csv_lines(students).collect()]
-    assert lines[0].startswith("Code,") and lines[1] == '"c1","Anonymous","say "hi"","1","3","2","66.67","01/01/2024, 04:00 AM","Never"'
-    assert "| code |" in readers.markdown_table(students.select("code"))
+    assert lines[0] == "Study Code,Display Name,Admin Label,Total Quizzes,Total Questions,Correct Answers,Accuracy %,Last Active (PST),Created At (PST)" and lines[1] == '"c1","Anonymous","say "hi"","1","3","2","66.67","","Jan 1, 2024, 4:00 AM"'
+    assert [r.value for r in readers.markdown_lines(students.select("code")).collect()] == ["| code |", "| --- |", "| c1 |"]
+    assert readers.markdown_report("T", {"S": students.select("code")}) == "# T\n\n## S\n\n| code |\n| --- |\n| c1 |\n"
     (tmp_path / "rows.json").write_text('[{"id": "1", "word": "x"}, {"id": "2"}]')
     assert readers.json_rows(spark, str(tmp_path / "rows.json"), "units").count() == 2
     assert all(schema(n).fields for n in SPECS)

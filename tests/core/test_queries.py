@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import duckdb
@@ -40,6 +41,8 @@ def test_rate_limit_against_a_walk(spark, sf):
     held, want = {}, {}
     for r in sorted(frame(spark, sf, "attempt_events").collect(), key=lambda r: (r.attempted_at, r.event_id)):
         mine = [t for t in held.get(r.study_code_id, []) if (r.attempted_at - t).total_seconds() < 6 * 3600]
-        want[r.event_id] = len(mine) < 3
+        want[r.event_id] = (len(mine) < 3, max(0, 2 - len(mine)), r.attempted_at if len(mine) < 3 else mine[0])
         held[r.study_code_id] = [*mine, r.attempted_at] if len(mine) < 3 else mine
-    assert {r.event_id: r.allowed for r in QUERIES["t02_rate_limit"](spark, sf).collect()} == want
+    window = dt.timedelta(hours=6)
+    got = {r.event_id: (r.allowed, r.remaining, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=r.reset_at) - window) for r in QUERIES["t02_rate_limit"](spark, sf).collect()}
+    assert got == want
