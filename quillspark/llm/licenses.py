@@ -3,8 +3,8 @@
 Every pair of neighbouring words of a text is hashed and joined to the pairs of the license templates; the words themselves are
 compared in the join, so no hash collision votes. A hit at word p of the text and word t of a template lies on diagonal p - t.
 Hits are summed by diagonal; diagonals of one template that are at most `SHIFT` words apart and whose hits are at most `GAP`
-words apart are merged, which takes up words put in or left out; a merged span stands if its hits cover `COVER` of the template's
-pairs. A base phrase stands where one diagonal has all of its pairs: that is a place where its words stand consecutively.
+words apart are merged, which takes up words put in or left out; a merged span is read once more in the text's order, and only
+hits that go on in the template count, each of its pairs once: it stands if these cover `COVER` of the template's pairs. A base phrase stands where one diagonal has all of its pairs: that is a place where its words stand consecutively.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. score: the largest part of a template that a span covers, 0 without
 hits. The templates are constants, so broadcasting them is bounded. Each row has a number of its own from its place in the
@@ -30,6 +30,9 @@ TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license"),
     ("mit", "released under the mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl-3.0", "licensed under the gnu general public license version 3"),
@@ -78,15 +81,20 @@ def hits(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Verified spans (row, doc_id, n_words, label, base, start, end, cover) and one row with a null label for each text."""
+    """Verified spans (row, doc_id, n_words, label, base, start, end, cover) and one row with a null label for each text.
+
+    cover: the share of the template's pairs that stand in the span in the template's order, each counted once.
+    """
     by = ["row", "doc_id", "n_words", "template", "label", "base", "pairs"]
-    diagonals = found.groupBy(*by, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal", "low")
-    last, reach = F.lag("diagonal").over(order), F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("base") | F.col("template").isNull() | (F.col("diagonal") - last > SHIFT) | (F.col("low") - reach > GAP) | last.isNull(), 1).otherwise(0)
-    grouped = diagonals.withColumn("apart", apart).withColumn("part", F.sum("apart").over(order))
-    merged = grouped.groupBy(*by, "part").agg(F.sum("n").alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"))
-    cover = F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("n") / F.col("pairs")))
+    hit = found.withColumn("diagonal", F.col("p") - F.col("t"))
+    order = Window.partitionBy("row", "template").orderBy("diagonal", "p")
+    last, reach = F.lag("diagonal").over(order), F.max("p").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("base") | F.col("template").isNull() | (F.col("diagonal") - last > SHIFT) | (F.col("p") - reach > GAP)
+    grouped = hit.withColumn("apart", F.when(last.isNull() | ((F.col("diagonal") != last) & new), 1).otherwise(0)).withColumn("part", F.sum("apart").over(order))
+    before = F.max("t").over(Window.partitionBy("row", "template", "part").orderBy("p", "t").rowsBetween(Window.unboundedPreceding, -1))
+    read = grouped.withColumn("next", (F.col("t") > F.coalesce(before, F.lit(-1))).cast("int"))
+    merged = read.groupBy(*by, "part").agg(F.sum("next").alias("n"), F.min("p").alias("start"), (F.max("p") + 2).alias("end"))
+    cover = F.when(F.col("template").isNotNull(), F.col("n") / F.col("pairs"))
     return merged.select("row", "doc_id", "n_words", "label", "base", "start", "end", cover.alias("cover"))
 
 

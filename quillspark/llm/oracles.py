@@ -34,10 +34,12 @@ LICENSES = f"""
 WITH known(template, label, base, pairs, t, w1, w2) AS (VALUES {_PAIRS}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS w FROM documents),
 p AS (SELECT rid, p - 1 AS p, w[p] AS w1, w[p + 1] AS w2 FROM (SELECT rid, w, unnest(range(1, len(w))) AS p FROM d)),
-g AS (SELECT rid, template, label, base, pairs, p - t AS diagonal, count(*) AS n, min(p) AS low, max(p) AS high FROM p JOIN known USING (w1, w2) GROUP BY ALL),
+h AS (SELECT rid, template, label, base, pairs, p, t, p - t AS diagonal FROM p JOIN known USING (w1, w2)),
+g AS (SELECT rid, template, base, diagonal, min(p) AS low, max(p) AS high FROM h GROUP BY ALL),
 a AS (SELECT *, lag(diagonal) OVER o AS last, max(high) OVER (PARTITION BY rid, template ORDER BY diagonal, low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal, low)),
 b AS (SELECT *, sum(CASE WHEN base OR last IS NULL OR diagonal - last > {licenses.SHIFT} OR low - reach > {licenses.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diagonal, low) AS part FROM a),
-m AS (SELECT rid, label, base, min(low) AS start, least(1.0::DOUBLE, sum(n)::DOUBLE / pairs) AS cover FROM b GROUP BY rid, template, label, base, pairs, part),
+l AS (SELECT h.rid, h.template, label, h.base, pairs, part, list(h.t ORDER BY h.p, h.t) AS ts, min(h.p) AS start FROM h JOIN b ON h.rid = b.rid AND h.template = b.template AND h.diagonal = b.diagonal GROUP BY ALL),
+m AS (SELECT rid, label, base, start, len(list_filter(range(1, len(ts) + 1), lambda i: i = 1 OR ts[i] > list_max(ts[1 : i - 1])))::DOUBLE / pairs AS cover FROM l),
 f AS (SELECT rid, count(*) FILTER ({_PLACE}) AS n_base, min(start) FILTER ({_PLACE}) AS first_word, max(start) FILTER ({_PLACE}) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ({_PLACE}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ({_STANDS}) AS labels, max(cover) AS score FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN f USING (rid)
 """

@@ -61,6 +61,13 @@ def test_spans_survive_inserted_and_missing_words(spark):
     assert all(label in r.labels.split(",") for r in out)
 
 
+def test_repeated_pairs_of_a_template_are_no_license(spark):
+    rows = [(1, "public license " * 4), (2, "license public general affero gnu"), (3, "gnu affero general public license"), (4, "gnu affero the general public license"), (5, "public license gnu affero general public license")]
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1][0] == "" and got[1][1] <= 0.5 and got[2] == ("", 0.0)
+    assert all("agpl" in got[i][0].split(",") for i in (3, 5)) and got[4][1] >= 0.75
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = L.scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
