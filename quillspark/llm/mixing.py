@@ -130,7 +130,7 @@ def _landed(table: pa.Table) -> pa.Table:
 
 
 def _moved(table: pa.Table, land: bool) -> pa.Table:
-    order = [("hash", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("tie", "ascending")]
+    order = [("hash", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("tie", "ascending"), ("copy", "ascending")]
     table = table.sort_by(order)
     p, x = table.column("p").to_pylist(), table.column("size").to_pylist()
     first, last = table.column("hash")[0].as_py(), table.column("hash")[-1].as_py()
@@ -146,14 +146,16 @@ def mix(docs: DataFrame, keep: list[str], share: float = SHARE, most: float = MO
     """docs' columns `keep` (among them doc_id and source), then size, source_size, target, copies (how often the mix takes the row)."""
     spark = docs.sparkSession
     measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    base = cut(measured, "mixing-sizes")
+    # equal rows are counted and dealt out again by number, so that a row repeated without end spreads over all blocks
+    counted = measured.groupBy(*measured.columns).agg(F.count("*").alias("n")).select(*measured.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
+    base = cut(counted, "mixing-sizes")
     totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     targets = share_out([r.size for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share * sum(r.size for r in totals), most)
     plan = spark.createDataFrame([(r.source, r.size, t, t / r.size if r.size else 0.0, max(1, math.ceil(r.n / block))) for r, t in zip(totals, targets, strict=True)], "source string, source_size bigint, target double, rate double, blocks int")
     placed = base.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     placed = placed.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
-    placed = placed.withColumn("hash", F.xxhash64("doc_id", "size", "tie", F.lit(SEED))).withColumn("block", F.pmod("hash", F.col("blocks")).cast("int"))
+    placed = placed.withColumn("hash", F.xxhash64("doc_id", "size", "tie", "copy", F.lit(SEED))).withColumn("block", F.pmod("hash", F.col("blocks")).cast("int"))
     schema = placed.schema
     most_blocks = max((max(1, math.ceil(r.n / block)) for r in totals), default=1)
     done, now = [], placed
@@ -176,8 +178,8 @@ def mix(docs: DataFrame, keep: list[str], share: float = SHARE, most: float = MO
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """The contract's digest: doc_id, size, source_size, target, taken."""
-    return mix(docs, ["doc_id", "source"]).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """The contract's digest: doc_id, size, source_size, target, taken; then source."""
+    return mix(docs, ["doc_id", "source"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

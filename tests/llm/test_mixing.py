@@ -100,3 +100,13 @@ def test_flight_keeps_totals_and_expectations():
         for i, v in enumerate(q):
             sums[i] += v
     assert max(abs(sums[i] / 1500 - p[i]) for i in range(40)) < 0.06
+
+
+def test_a_row_repeated_very_often_spreads_over_blocks(spark):
+    rows = [(7, "one two three", "a")] * 3000 + [(i, "word " * (i % 9 + 1), "ab"[i % 2]) for i in range(100, 1100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = X.mix(df, ["doc_id", "source"], block=200)
+    got = out.groupBy("source").agg({"target": "max", "copies": "sum", "size": "count"}).collect()
+    assert sum(r["count(size)"] for r in got) == len(rows)
+    for r in out.selectExpr("source", "target", "size * copies AS taken").groupBy("source").agg({"target": "max", "taken": "sum"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 9
