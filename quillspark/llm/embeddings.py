@@ -19,8 +19,8 @@ and edges enough to join what its links join, never the pairs.
 Each length of vectors has an index of its own, fitted on its own sample, one after the other.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing, nor do rows with a null label; rows with a null vec_id count as links of others, their own n_links is 0, component_id
-null and kept true; equal vec_ids are one vector with several rows; an empty table gives no rows.
+nothing, nor do rows with a null label; a row with a null vec_id links like any other, and its component_id is the
+smallest id of its component, null (and kept true) if there is none, else kept is false; equal vec_ids are one vector with several rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ PARTS, WORDS = 16, 32
 SAMPLE = 8192
 BLOCK = 2048
 _SLACK = 1e-5
+#: Rows that may link.
+SOUND = "label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -210,7 +212,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, s
     spark = table.sparkSession
     bound_batches(spark)
     rows = cut(table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")), "vectors-rows")
-    sound = rows.where("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    sound = rows.where(SOUND)
     # entries: distinct vectors of a label; the name of an entry is its smallest vec_id, or a hash where all are null
     entry = sound.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     entry = entry.withColumn("name", F.monotonically_increasing_id())
@@ -233,5 +235,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, lists: int = LISTS, s
     named = full.join(smallest, "root").select("name", "component").join(links, "name", "left")
     each = mine.join(named, "name").groupBy("vec_id").agg(F.min("component").alias("component"), F.max(F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     known = each.where("vec_id is not null")
-    out = few(rows.select("vec_id").join(known, "vec_id", "left"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = few(rows.where("vec_id is not null").select("vec_id").join(known, "vec_id", "left"))
+    lone = mine.where("vec_id is null").join(named, "name").select("vec_id", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    idle = rows.where("vec_id is null").where(~F.coalesce(F.expr(SOUND), F.lit(False))).select("vec_id", F.lit(None).cast("bigint").alias("component"), F.lit(0).cast("bigint").alias("n_links"))
+    out = out.unionByName(lone).unionByName(idle)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce("component", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))

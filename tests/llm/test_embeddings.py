@@ -11,7 +11,8 @@ def brute(rows):
         if label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             ok.append((k, i, np.array(v, float), label))
     n = {k: 0 for k in range(len(rows))}
-    root = {r[0]: r[0] for r in rows if r[0] is not None}
+    name = [(r[0] is None, k if r[0] is None else r[0]) for k, r in enumerate(rows)]  # a row without an id is a node of its own, last
+    root = {x: x for x in name}
 
     def find(x):
         while root[x] != x:
@@ -26,10 +27,10 @@ def brute(rows):
         for a, b in zip(*np.nonzero(near), strict=True):
             if a != b:
                 n[mine[a][0]] += 1
-                if mine[a][1] is not None and mine[b][1] is not None:
-                    x, y = sorted((find(mine[a][1]), find(mine[b][1])))
-                    root[y] = x
-    return sorted(((r[0], 0 if r[0] is None else n[k], None if r[0] is None else find(r[0]), r[0] is None or find(r[0]) == r[0]) for k, r in enumerate(rows)), key=str)
+                x, y = sorted((find(name[mine[a][0]]), find(name[mine[b][0]])))
+                root[y] = x
+    least = [None if find(x)[0] else find(x)[1] for x in name]
+    return sorted(((r[0], n[k], least[k], least[k] == r[0]) for k, r in enumerate(rows)), key=str)
 
 
 def got(df, **kw):
