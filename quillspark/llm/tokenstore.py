@@ -286,9 +286,22 @@ def encoder(path: str, end_id: int = END_ID) -> PieceEncoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows (shard, doc_id, ids): ids with the end id as packed little-endian integers; shard by `bounds` of doc_id, nulls in the last."""
+    """Rows (shard, doc_id, ids): ids with the end id as packed little-endian integers; shard by `bounds` of doc_id, nulls last.
+
+    A bound that comes several times is an id of very many rows: these, and rows without an id, are dealt over several shards by
+    the first bytes of their ids, so shards go by (doc_id, ids) all the same.
+    """
     bound_batches(docs.sparkSession)
-    edges = np.array(bounds, np.int64)
+    edges, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+    times = np.where(times > 1, times, 0)
+    base = np.concatenate(([0], np.cumsum(1 + np.concatenate(([0], times)))))  # first shard of each interval; the last: of nulls
+    lone = max(1, len(bounds) // 4)
+
+    def dealt(ids: np.ndarray, null: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(edges, ids, "right")
+        parts = np.concatenate(([0], times))[at]
+        hot = (parts > 0) & (edges[np.maximum(at - 1, 0)] == ids) if len(edges) else np.zeros(len(ids), bool)
+        return np.where(null, base[-1] + (lead * lone >> 16), base[at] + np.where(hot, lead * parts >> 16, parts)).astype(np.int32)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, end_id)
@@ -296,8 +309,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], en
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = part.column(0)
-                shard = np.where(ids.is_null().to_numpy(False), len(edges), np.searchsorted(edges, ids.fill_null(0).to_numpy(False), "right")).astype(np.int32)
                 got, bounds = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                lead = got[bounds[:-1]].astype(np.int64) & 0xFFFF  # a document has its end id at least
+                lead = (lead & 0xFF) << 8 | lead >> 8  # as bytes compare
+                shard = dealt(ids.fill_null(0).to_numpy(False), ids.is_null().to_numpy(False), lead)
                 packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((bounds * got.itemsize).astype(np.int32)), pa.py_buffer(got)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, packed], names=["shard", "doc_id", "ids"])
 
@@ -306,7 +321,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], en
 
 def _bounds(docs: DataFrame, doc_id: str, shards: int) -> list[int]:
     got = docs.select(F.percentile_approx(F.col(f"`{doc_id}`").cast("bigint"), [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] if shards > 1 else None
-    return sorted(set(got or []))
+    return sorted(got or [])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None, block_ids: int = BLOCK_IDS, text: str = "text", doc_id: str = "doc_id") -> None:
