@@ -12,9 +12,14 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share, `spark.checkpoint.dir`; where it is unset, a temporary one for a local
+    master, else an error, since executors don't see each other's folders."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return set_dir or f"file://{tempfile.gettempdir()}/checkpoints"
+    if set_dir:
+        return set_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +33,17 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
-def few(df: DataFrame, for_each_core: int = 4) -> DataFrame:
-    """df in at most so many partitions for each core of the cluster; a task takes its partitions one after the other."""
-    return df.coalesce(for_each_core * df.sparkSession.sparkContext.defaultParallelism)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and rows that df's plan reads, as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def few(df: DataFrame, for_each_core: int = 4, file_bytes: int = 64 << 20) -> DataFrame:
+    """df in at most so many partitions for each core of the cluster, or one for each `file_bytes` of input where that is more, so
+    that no task grows with the input; a task takes its partitions one after the other."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(for_each_core * cores, min(input_bytes(df) // file_bytes, 1_000_000)))
 
 
 def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:

@@ -7,12 +7,14 @@ themselves, so no match runs over the end of an item.
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Cases: a null or empty text has no words, no hits and comes
 back as it is; a null item text has no words and no window; an item with a null id makes hits and spans
 but stands in no list of items; items with equal texts each count; rows of the input stay one
-output row each, repeated or not; columns of any other name pass through; an empty benchmark hits nothing.
+output row each, repeated or not; columns of any name pass through (where one is called as the result is, the result gets
+underscores more); an empty benchmark hits nothing.
 
 Only words of the benchmark's own vocabulary can lead the automaton away from its root, so a vectorised look-up passes it just
 the runs of such words that are long enough; the rest would reset it. The items travel in the function's closure. A table of
-more than `block_words` words is cut into blocks that are read one after the other, each by its own automaton, so memory stays
-bounded whatever the benchmark's size.
+more than `block_words` words is cut into blocks that are read one after the other, each by its own automaton, so the automata's memory is
+bounded whatever the benchmark's size. Then texts gather to `GATHER_BYTES` before the blocks are gone through, since building an
+automaton takes seconds: benchmarks of some million words work, but cost a build a block for each such part of the texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .common import bound_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+GATHER_BYTES = 64 << 20
 
 
 class SuffixAutomaton:
@@ -270,8 +273,8 @@ MATCH = T.StructType(
 )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, rewrite: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """docs with one more column `match`: words, hit words, items (sorted as strings), spans [first word, end word) and, if
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, rewrite: bool = True, keep: list[str] | None = None, column: str = "match") -> DataFrame:
+    """docs with one more column, `match`: words, hit words, items (sorted as strings), spans [first word, end word) and, if
     `rewrite`, the text without its spans of `min_span` words or more (length limit). `cleaned` is null where hit words exceed
     `max_coverage` of all words (coverage limit): such a document is to go whole. `keep` names the columns that pass through
     (default: all).
@@ -280,12 +283,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     bound_batches(spark)
     found = matcher(benchmark, window)
     names = keep if keep is not None else docs.columns
-    source = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string").alias("__text"))
-    passed = T.StructType([docs.schema[c] for c in names])
+    while column in names:
+        column += "_"
+    source = docs.select(*(F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(names)), F.col(f"`{text}`").cast("string").alias("__text"))
+    passed = T.StructType([T.StructField(f"d_{i}", docs.schema[c].dataType) for i, c in enumerate(names)])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("cleaned", pa.string())])
 
-    def each(batches):
+    def gathered(batches):
+        held, size = [], 0
         for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(found.parts) == 1 or size >= GATHER_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def each(batches):
+        for batch in gathered(batches):
             texts = batch.column(len(names))
             rows = []
             for i, (n, spans, items) in enumerate(found.scan(texts)):
@@ -296,9 +312,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     if hit:
                         cleaned = found.clean(cleaned, min_span)
                 rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items": sorted(items), "spans": [[a, b] for a, b, _, _ in spans], "cleaned": cleaned})
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, kind)], names=[*names, "match"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, kind)], names=[*passed.names, "match"])
 
-    return source.mapInArrow(each, T.StructType([*passed.fields, T.StructField("match", MATCH)]))
+    out = source.mapInArrow(each, T.StructType([*passed.fields, T.StructField("match", MATCH)]))
+    return out.select(*(F.col(f"d_{i}").alias(c) for i, c in enumerate(names)), F.col("match").alias(column))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ again with another seed.
 
 Cases: a null text stays null and has 0 lines, an empty one has one empty line; chunks of nothing but blank lines stay; rows
 with equal id and text are one document with several rows, all cleaned alike; rows with a null doc_id come last in the order;
-columns of any name pass through; an empty table gives no rows.
+columns of any name pass through (where one is called `lines`, the result is `lines_`); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def repeated_units(docs: DataFrame, text: str, doc_id: str, seed: int, size: int
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bytes: int = HASH_BYTES, seed: int = 0, passage_words: int | None = None) -> DataFrame:
-    """docs with one more column `lines`: number of lines, lines removed, words removed, and the text that stays.
+    """docs with one more column, `lines`: number of lines, lines removed, words removed, and the text that stays.
 
     passage_words: besides repeated chunks, repeated runs of lines of over so many words go, wherever they stand; None: chunks only.
     """
@@ -186,7 +186,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, kind)], names=[*(f"d_{i}" for i in range(len(names))), "lines"])
 
     done = ready.mapInArrow(clean, T.StructType([*passed.fields, T.StructField("lines", result)]))
-    return done.select(*(F.col(f"d_{i}").alias(c) for i, c in enumerate(names)), "lines")
+    column = "lines"
+    while column in names:
+        column += "_"
+    return done.select(*(F.col(f"d_{i}").alias(c) for i, c in enumerate(names)), F.col("lines").alias(column))
 
 
 def verdicts(docs: DataFrame, passage_words: int | None = None) -> DataFrame:
