@@ -45,10 +45,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    read = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    stays = read.where((F.col("match.n_hit") == 0) | F.col("match.cleaned").isNotNull())
-    text = F.when(F.col("match.n_hit") > 0, F.col("match.cleaned")).otherwise(F.col("text"))
-    length = F.when(F.col("match.n_hit") > 0, F.length("match.cleaned").cast("bigint")).otherwise(F.col("n_chars"))
+    read = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), column="__match")
+    stays = read.where((F.col("__match.n_hit") == 0) | F.col("__match.cleaned").isNotNull())
+    text = F.when(F.col("__match.n_hit") > 0, F.col("__match.cleaned")).otherwise(F.col("text"))
+    length = F.when(F.col("__match.n_hit") > 0, F.length("__match.cleaned").cast("bigint")).otherwise(F.col("n_chars"))
     return stays.withColumns({"text": text, "n_chars": length} if "n_chars" in docs.columns else {"text": text}).select(*docs.columns)
 
 
