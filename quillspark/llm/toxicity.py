@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -333,15 +333,16 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-6, st
 class Sample:
     """Labelled texts as sets of strings: the distinct strings, and for each text the numbers of its own."""
 
-    def __init__(self, bags: list[tuple[int, list[bytes]]], longest: int = 200):
+    def __init__(self, bags: Iterable[tuple[int, bytes]], longest: int = 200, size: int = 10_000):
         number: dict[bytes, int] = {}
-        self.number = number
-        self.label = np.array([y for y, _ in bags], np.int8)
-        # a longer run stands by its first bytes here; scoring reads it whole
-        self.texts = [np.array(sorted({number.setdefault(w[:longest], len(number)) for w in words}), np.int64) for _, words in bags]
+        labels, texts = [], []
+        for label, lines in bags:
+            labels.append(label)
+            # a longer run stands by its first bytes here; scoring reads it whole
+            texts.append(np.unique(np.array([number.setdefault(w[:longest], len(number)) for w in lines.split(b"\n")] if lines else [], np.int32)))
+        self.number, self.label, self.texts, self.size = number, np.array(labels, np.int8), texts, size
         self.words = list(number)
-        self.parts = [Strings.of(self.words[k : k + 20_000]) for k in range(0, len(self.words), 20_000)]
-        self.lengths = np.array([len(w) for w in self.words])
+        self.parts = [Strings.of(self.words[k : k + size]) for k in range(0, len(self.words), size)]
 
     def apart(self, hashes: int = 8, agree: int = 6) -> np.ndarray:
         """Numbers of the texts without near copies of earlier ones of their label, by the smallest of several hashes of their strings."""
@@ -363,10 +364,9 @@ class Sample:
     def first_values(self, use: np.ndarray) -> np.ndarray:
         """How much each string's runs of five characters mark the toxic ones of the texts in `use`."""
         found = [p.stems() for p in self.parts]
-        owner = np.concatenate([o.astype(np.int64) + 20_000 * k for k, (o, _) in enumerate(found)]) if found else np.empty(0, np.int64)
+        owner = np.concatenate([o + self.size * k for k, (o, _) in enumerate(found)]).astype(np.int32) if found else np.empty(0, np.int32)
         runs, stem = np.unique(np.concatenate([s for _, s in found]) if found else np.empty(0, np.int64), return_inverse=True)
-        order = np.argsort(owner, kind="stable")
-        owner, stem = owner[order], stem[order]
+        stem = stem.astype(np.int32)  # owners come in order
         at = np.searchsorted(owner, np.arange(len(self.words) + 1))
         up, down = np.zeros(len(runs)), np.zeros(len(runs))
         for i in use.tolist():
@@ -491,11 +491,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(2 * over, -500, 500)))
 
 
-def part(bags: list[tuple[int, list[bytes], list[bytes]]], fold: int) -> dict:
-    """One machine's work on (label, words, pairs) of all texts of the sample: fitted without part `fold`, whose margins it gives, or,
+def part(bags: list[tuple[int, bytes, bytes]], fold: int) -> dict:
+    """One machine's work on (label, words, pairs), each a line, of all texts of the sample: fitted without part `fold`, whose margins it gives, or,
     if fold is `FOLDS`, fitted to all of them."""
-    bags = sorted(bags, key=lambda b: (b[0], b[1], b[2]))
-    sample = Sample([(y, words) for y, words, _ in bags])
+    bags = sorted(bags)
+    sample = Sample((y, words) for y, words, _ in bags)
     use = sample.apart()
     if fold < FOLDS:
         mine = np.arange(len(use)) % FOLDS == fold
@@ -509,9 +509,11 @@ def part(bags: list[tuple[int, list[bytes], list[bytes]]], fold: int) -> dict:
     if not toxic.any() or toxic.all():
         return out
     unexplained = use[toxic & (high <= np.quantile(high[~toxic], 0.995))].tolist()
-    paired = Sample([(bags[i][0], bags[i][2]) for i in [*unexplained, *use[~toxic].tolist()]])
+    if len(unexplained) < 3:
+        return out
+    paired = Sample((bags[i][0], bags[i][2]) for i in [*unexplained, *use[~toxic].tolist()])
     everyone = np.arange(len(paired.texts))
-    strong = set(paired.strong(everyone).tolist()) if len(unexplained) > 2 else set()
+    strong = set(paired.strong(everyone).tolist())
     held = np.array([paired.label[i] != 1 or not strong.isdisjoint(paired.texts[i].tolist()) for i in everyone], bool)
     if strong and (paired.label[held] == 1).sum() > 2:
         out["pairs"], *_ = machine(paired, everyone[held])
@@ -531,6 +533,7 @@ def assembled(parts: list[dict], share: float) -> Model:
 
 def fit(bags: list[tuple[int, list[bytes], list[bytes]]], share: float | None = None) -> Model:
     """Fits to (label, distinct words, distinct pairs) of labelled documents, all parts in this process."""
+    bags = [(y, b"\n".join(words), b"\n".join(pairs)) for y, words, pairs in bags]
     share = share if share is not None else sum(y == 1 for y, *_ in bags) / max(1, len(bags))
     return assembled([part(bags, k) for k in range(FOLDS + 1)], share)
 
@@ -549,13 +552,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, modulus: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([least(w) for w in words], pa.binary()), pa.array([least(p) for p in pairs], pa.binary())], names=["label", "words", "pairs"])
 
     kept = cut(sample.mapInArrow(read, "label int, words binary, pairs binary"), "toxicity-sample", 8)
-    dealt = kept.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionByRange(FOLDS + 1, "fold")
+    # only the machine fitted to all texts looks at pairs
+    dealt = kept.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).withColumn("pairs", F.when(F.col("fold") == FOLDS, F.col("pairs")).otherwise(F.lit(b""))).repartitionByRange(FOLDS + 1, "fold")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
             for y, words, pairs, fold in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                found.setdefault(fold, []).append((y, words.split(b"\n") if words else [], pairs.split(b"\n") if pairs else []))
+                found.setdefault(fold, []).append((y, words, pairs))
         for fold in sorted(found):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part(found.pop(fold), fold))], pa.binary())], names=["part"])
 
