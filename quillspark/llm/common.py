@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+_slot: dict = {}
+
+
+def kept(name, make: Callable[[], object]):
+    """The one large object that this Python process keeps from task to task, made if it isn't there. Workers are reused by one
+    operator after another; each one's object takes the place of the last, so they don't add up."""
+    if name not in _slot:
+        _slot.clear()
+        _slot[name] = make()
+    return _slot[name]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and rows that df's plan reads, as the optimizer knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

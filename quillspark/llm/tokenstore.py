@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_folder
+from .common import bound_batches, kept, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -275,14 +275,11 @@ class PieceEncoder:
         return out, np.concatenate(([0], ends))[bounds]
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
 
 
 def encoder(path: str, end_id: int = END_ID) -> PieceEncoder:
     """This process's encoder for a tokenizer file; a Python worker keeps it from task to task."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = PieceEncoder(path, end_id)
-    return _encoders[path, end_id]
+    return kept(("encoder", path, end_id), lambda: PieceEncoder(path, end_id))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, bounds: list[int], end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -29,6 +29,7 @@ are ignored; without labels of both kinds all scores are 0.
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .common import bound_batches, cut
+from .common import bound_batches, cut, kept
 from .sampling import held_out, labelled_texts, shares
 
 DECAY = 0.8
@@ -551,11 +552,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, modulus: int =
             words, pairs = strings_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([least(w) for w in words], pa.binary()), pa.array([least(p) for p in pairs], pa.binary())], names=["label", "words", "pairs"])
 
-    kept = cut(sample.mapInArrow(read, "label int, words binary, pairs binary"), "toxicity-sample", 8)
+    read_once = cut(sample.mapInArrow(read, "label int, words binary, pairs binary"), "toxicity-sample", 8)
     # only the machine fitted to all texts looks at pairs
-    dealt = kept.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).withColumn("pairs", F.when(F.col("fold") == FOLDS, F.col("pairs")).otherwise(F.lit(b""))).repartitionByRange(FOLDS + 1, "fold")
+    dealt = read_once.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).withColumn("pairs", F.when(F.col("fold") == FOLDS, F.col("pairs")).otherwise(F.lit(b""))).repartitionByRange(FOLDS + 1, "fold")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity training", dict)
         found: dict[int, list] = {}
         for batch in batches:
             for y, words, pairs, fold in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -573,14 +575,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: list[str]
     """docs' columns `keep` (default: all), then __score and __predicted."""
     bound_batches(docs.sparkSession)
     names = keep if keep is not None else docs.columns
+    token = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 MB of weights, 6 with pairs, whatever the corpus
     source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("text").cast("string").alias("__text"))
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
     schema = T.StructType([*fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = kept(("toxicity", token), lambda: shared.value)
         for batch in batches:
-            p = shared.value.scores(batch.column(len(names)))
+            p = model.scores(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
 
     return source.mapInArrow(each, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "__score", "__predicted")
