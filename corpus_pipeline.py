@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import decontaminate, minhash, mixing, tokenstore, toxicity
 from quillspark.llm.common import few, shared_folder, table
 
+#: Fewer than a token store by itself has: here workers come to it from other stages, and executors are full.
+REMEMBERED = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -57,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokenstore.store_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenstore.store_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=REMEMBERED)
 
 
 STAGES = [

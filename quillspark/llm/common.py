@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +40,21 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
 _slot: dict = {}
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the system: allocators hold on to it, and containers are bounded by what is held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def kept(name, make: Callable[[], object]):
     """The one large object that this Python process keeps from task to task, made if it isn't there. Workers are reused by one
     operator after another; each one's object takes the place of the last, so they don't add up."""
     if name not in _slot:
         _slot.clear()
+        give_back()
         _slot[name] = make()
     return _slot[name]
 
