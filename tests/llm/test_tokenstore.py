@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quillspark.llm import common
 from quillspark.llm import tokenstore as S
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +65,18 @@ def test_whole_table(spark, sf):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_pieces_remembered_do_not_change_the_store(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sorted((tuple(r) for r in S.store_and_read(docs, PATH, keep=200).collect()), key=key)
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_one_large_object_a_process():
+    first = common.kept("a", lambda: [1])
+    assert common.kept("a", lambda: [2]) is first
+    assert common.kept("b", lambda: [3]) == [3] and common.kept("a", lambda: [4]) == [4]
+
+
 ROWS = [(5, "five"), (-3, "minus"), (None, "no id"), (5, "five"), (5, "another"), (0, None), (1, ""), (2**60, "word " * 30000), (None, None)]
 
 
