@@ -40,13 +40,20 @@ def bound_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
 _slot: dict = {}
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+
+
+def trim() -> None:
+    """Returns freed memory to the system: allocators hold on to it, and containers are bounded by what is held. About 2 ms."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def give_back() -> None:
-    """Returns this process's freed memory to the system: allocators hold on to it, and containers are bounded by what is held."""
+    """`trim` after a collection of garbage."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-    if trim:
-        trim(0)
+    trim()
 
 
 def kept(name, make: Callable[[], object]):
@@ -59,6 +66,13 @@ def kept(name, make: Callable[[], object]):
     return _slot[name]
 
 
+def let_go() -> None:
+    """Frees the large object that this process keeps, for tasks that have no use for it but come to the same worker."""
+    if _slot:
+        _slot.clear()
+        give_back()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and rows that df's plan reads, as the optimizer knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

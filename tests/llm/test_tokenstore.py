@@ -77,6 +77,23 @@ def test_one_large_object_a_process():
     assert common.kept("b", lambda: [3]) == [3] and common.kept("a", lambda: [4]) == [4]
 
 
+def test_blocks_are_written_without_the_encoder(spark, sf, tmp_path, monkeypatch):
+    pack = S.pack_block
+
+    def checked(*block):
+        from quillspark.llm.common import _slot
+
+        assert not _slot, "the worker still holds its encoder"
+        return pack(*block)
+
+    monkeypatch.setattr(S, "pack_block", checked)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        S.write_store(spark.read.parquet(f"{sf}/documents.parquet").repartition(16), f"file://{tmp_path}/store", PATH, shards=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 ROWS = [(5, "five"), (-3, "minus"), (None, "no id"), (5, "five"), (5, "another"), (0, None), (1, ""), (2**60, "word " * 30000), (None, None)]
 
 
