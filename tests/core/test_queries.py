@@ -35,6 +35,20 @@ def test_equals_oracle(spark, sf, duck, name):
     assert got == want
 
 
+def test_j09_writes_a_students_rows_together(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["j09_weak_topic_resources"](spark, sf).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    changes = rows = 0
+    for file in (tmp_path / "out").glob("*.parquet"):
+        con = duckdb.connect()
+        got = [r[0] for r in con.execute(f"SELECT (study_code_id, topic) FROM read_parquet('{file}') ORDER BY file_row_number").fetchall()]
+        rows, changes = rows + len(got), changes + sum(a != b for a, b in zip([None, *got[:-1]], got, strict=True))
+    assert rows and changes == len({tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("study_code_id", "topic").distinct().collect()})
+
+
 def test_rate_limit_against_a_walk(spark, sf):
     from quillspark.plans.fixtures import frame
 
