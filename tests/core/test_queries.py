@@ -49,6 +49,22 @@ def test_j09_writes_a_students_rows_together(spark, sf, tmp_path):
     assert rows and changes == len({tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("study_code_id", "topic").distinct().collect()})
 
 
+def test_j09_writes_topic_by_topic_and_sums_the_results_once(spark, sf, tmp_path):
+    for n, threshold in enumerate(("10m", "16k", "-1")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            df = QUERIES["j09_weak_topic_resources"](spark, sf)
+            df.write.parquet(str(tmp_path / str(n)))
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len([x for x in plan.splitlines() if "- Exchange hashpartitioning(study_code_id" in x]) == 1
+        for file in (tmp_path / str(n)).glob("*.parquet"):
+            got = [r[0] for r in duckdb.connect().execute(f"SELECT topic FROM read_parquet('{file}') ORDER BY file_row_number").fetchall()]
+            assert sum(a != b for a, b in zip([None, *got[:-1]], got, strict=True)) == len(set(got))
+
+
 def test_rate_limit_against_a_walk(spark, sf):
     from quillspark.plans.fixtures import frame
 
